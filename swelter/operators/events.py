@@ -17,7 +17,7 @@ LINK_DAYS = 3
 
 
 def persistent_days(calendar: DataFrame, min_duration: int = 3, grace_days: int = 1) -> DataFrame:
-    """Heat-wave days that belong to an event, as ``(measure, pct, d, event)``.
+    """Heat-wave days that belong to an event, with all their columns and the ``event`` number.
 
     ``calendar`` has every season day with a flag ``is_hw``. Within a year two hot days belong
     together when they are neighbours in the list of season days or, with any grace, one day
@@ -37,7 +37,7 @@ def persistent_days(calendar: DataFrame, min_duration: int = 3, grace_days: int
     size = F.count("*").over(Window.partitionBy(*SERIES_KEYS, "year", "island"))
     kept = runs.withColumn("_n", size).where(F.col("_n") >= min_duration)
     order = Window.partitionBy(*SERIES_KEYS).orderBy("year", "island")
-    return kept.withColumn("event", F.dense_rank().over(order)).select(*SERIES_KEYS, "d", "event")
+    return kept.withColumn("event", F.dense_rank().over(order)).select(*calendar.columns, "event")
 
 
 def number_days(days: DataFrame) -> DataFrame:

@@ -15,22 +15,26 @@ EXTREME_PROB = 0.90
 TERCILES = (1.0 / 3.0, 2.0 / 3.0)
 
 
-def positive_quantiles(df: DataFrame, by: list[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def positive_quantiles(
+    df: DataFrame, by: list[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
     """``(*by, name, p, n, q)`` for the positive values of every column.
 
     The sketch behind ``percentile_approx`` brackets each quantile between two values whose
     ranks are guaranteed; the values outside are only counted and the few distinct values
-    between them are ranked exactly. No group is gathered or sorted whole. Groups without a
-    positive value are absent. A bracket that missed its rank would raise, not return a guess.
+    between them are ranked exactly: a share of about ``8 / accuracy``, or everything in groups
+    too small for the sketch to matter. No large group is gathered or sorted whole. Groups
+    without a positive value are absent. A bracket that missed its rank would raise, not guess.
     """
     long = df.select(
         *by, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
     ).where("v > 0 and v < double('Infinity')")
     keys = [*by, "name"]
-    slack = 4.0 / ACCURACY
+    slack = 4.0 / accuracy
+    small = F.col("n") < F.lit(10 / slack)  # fewer than ten ranks of slack: take all values
     ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
     bracket = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("_e"), F.max("v").alias("_max"),
+        F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("_e"), F.max("v").alias("_max"),
         F.min("v").alias("_min"),
     )
     pos = F.col("n") - 1
@@ -40,8 +44,8 @@ def positive_quantiles(df: DataFrame, by: list[str], columns: Sequence[str], pro
                 F.lit(p).alias("p"),
                 F.floor(F.lit(p) * pos).alias("k"),
                 (F.lit(p) * pos - F.floor(F.lit(p) * pos)).alias("frac"),
-                (F.col("_min") if p - slack <= 0 else F.col("_e")[2 * i]).alias("lo"),
-                (F.col("_max") if p + slack >= 1 else F.col("_e")[2 * i + 1]).alias("hi"),
+                F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("lo"),
+                F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
             )
             for i, p in enumerate(probs)
         ]

@@ -13,7 +13,7 @@ All of them grow with the scale factor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swelter.functions.thermo import heat_index_c
@@ -119,16 +119,13 @@ def domain_days(spark: SparkSession, sf: str, cells: DataFrame | None = None, pc
     calendar = season_calendar(cell_day(spark, sf)).select("d", series.alias("s")).select("s.*", "d")
     daily = cells.groupBy(*DAY_KEYS).agg(F.count("*").alias("n"), F.avg("mag").alias("m"))
     days = calendar.join(daily, DAY_KEYS, "left").na.fill(0, ["n"])
-    mean = days.groupBy(*SERIES_KEYS).agg(F.avg("n").alias("mean_n"))
-    return days.join(mean, SERIES_KEYS).select(
-        *DAY_KEYS, "n", (F.col("m") * F.col("n") / total).alias("hsci"), (F.col("n") > F.col("mean_n")).alias("is_hw")
-    )
+    mean_n = F.avg("n").over(Window.partitionBy(*SERIES_KEYS))
+    return days.select(*DAY_KEYS, "n", (F.col("m") * F.col("n") / total).alias("hsci"), (F.col("n") > mean_n).alias("is_hw"))
 
 
 def hw_day(spark: SparkSession, sf: str, cells: DataFrame | None = None, pcts=EXPOSURE_PCTS) -> DataFrame:
     """Index on the days that belong to an event."""
-    days = domain_days(spark, sf, cells, pcts)
-    return days.join(persistent_days(days), DAY_KEYS).select(*DAY_KEYS, "event", "hsci", "n")
+    return persistent_days(domain_days(spark, sf, cells, pcts)).drop("is_hw")
 
 
 def raster(spark: SparkSession, sf: str) -> DataFrame:
