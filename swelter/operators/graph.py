@@ -39,7 +39,6 @@ def connected_components(edges: DataFrame, keys: list[str], a: str = "a", b: str
             .join(low, [*keys, "u"])
             .select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .distinct()
         )
         low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))

@@ -67,7 +67,7 @@ def hull_rows(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray
 def convex_hull_runs(extremes: DataFrame) -> DataFrame:
     """Hull of every cluster as runs. A task gets at most one row per grid row of a cluster."""
 
-    def one(key, table: pa.Table) -> pa.Table:
+    def one(key, table):
         rows, left, right = hull_rows(*(table.column(n).to_numpy() for n in ("r", "c0", "c1")))
         head = {
             name: pa.array([k.as_py()] * rows.size, typ)

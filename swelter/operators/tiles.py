@@ -239,7 +239,7 @@ def component_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataF
                 "sum_c": ints(total(col_abs)),
                 "n_hot": ints(np.bincount(lab[hot_here], minlength=n)),
                 "sum_mag": pa.array(
-                    np.bincount(lab[hot_here], weights=mag[hot_here].astype(np.float64), minlength=n)
+                    np.bincount(lab[hot_here], weights=mag[hot_here], minlength=n).astype(np.float64)
                 ),
                 "hot_r": hot_lists[0],
                 "hot_c": hot_lists[1],
@@ -253,6 +253,32 @@ def component_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataF
     return _per_tile(hot, shape, size, pieces, PIECE_DDL)
 
 
+def mask_nodes(hot: DataFrame, shape: GridShape, size: int = 256) -> DataFrame:
+    """Cells of the smoothed field with the ``node`` of the piece they belong to."""
+
+    def cells(tile: _Tile) -> pa.Table:
+        rr, cc, raw = label_cells(tile.smooth() & tile.seen)
+        flat = (rr + tile.top).astype(np.int64) * shape.nx + cc + tile.left
+        _, first, lab = np.unique(raw, return_index=True, return_inverse=True)
+        core = tile.core[rr, cc]
+        return pa.table(
+            {
+                **_day_columns(tile, int(core.sum())),
+                "r": pa.array((rr[core] + tile.top).astype(np.int32)),
+                "c": pa.array((cc[core] + tile.left).astype(np.int32)),
+                "node": pa.array(flat[first][lab[core]]),
+            }
+        )
+
+    return _per_tile(hot, shape, size, cells, f"{MASK_DDL}, node bigint")
+
+
+def label_field(hot: DataFrame, shape: GridShape, size: int = 256) -> DataFrame:
+    """8-connected components of the smoothed field, cell by cell: ``(*day keys, r, c, comp)``."""
+    names = labelled_pieces(hot, shape, size).select(*DAY_KEYS, "node", "comp").distinct()
+    return mask_nodes(hot, shape, size).join(names, [*DAY_KEYS, "node"]).drop("node")
+
+
 def stitch_pieces(pieces: DataFrame) -> DataFrame:
     """Give every piece its component: pieces that contain the same rim cell belong together.
 

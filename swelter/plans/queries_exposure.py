@@ -12,6 +12,7 @@ from swelter.params import LONG_WINDOWS, PRIOR_WINDOWS
 from swelter.plans import bindings as b
 from swelter.plans import sqltext as q
 from swelter.plans.registry import query
+from swelter.session import cut_lineage
 
 PCTS = b.EXPOSURE_PCTS
 KEY = ["row_id", "pct"]
@@ -28,10 +29,11 @@ class Inputs:
 
 
 def inputs(spark, sf) -> Inputs:
-    cells = b.mag(spark, sf)
-    hw = b.hw_day(spark, sf, cells)
+    """Stage results the look-backs share; like the tables of a real run they are stored once."""
+    cells = cut_lineage(b.mag(spark, sf))
+    hw = cut_lineage(b.hw_day(spark, sf, cells))
     axes = b.cell_axes(spark, sf)
-    windows = zips.zip_window(b.centroids(spark, sf), *axes, b.cell_shape(spark, sf))
+    windows = cut_lineage(zips.zip_window(b.centroids(spark, sf), *axes, b.cell_shape(spark, sf)))
     in_window = zips.window_cells(windows, *axes)
     t_days = hw.where("measure = 't'").select("pct", "d")
     t = cells.where("measure = 't'").join(t_days, ["pct", "d"], "left_semi")
@@ -50,6 +52,11 @@ def exposed(spark, sf) -> DataFrame:
     return exposure.intensity_features(exposure.any_flags(exposure.missing_flags(out)))
 
 
+def admission_values(spark, sf) -> DataFrame:
+    """Admission-day exposure, stored because the quantiles read it more than once."""
+    return cut_lineage(exposed(spark, sf).select(*KEY, *_ADMIT_COLS))
+
+
 def _round(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -239,7 +246,7 @@ _ADMIT_COLS = ["zcta_EXCD_T_admit", "zcta_EXCD_HI_admit"]
 x as (select pct, 'zcta_EXCD_T_admit' name, vt v from av where vt>0 union all select pct, 'zcta_EXCD_HI_admit', vh from av where vh>0)
 select pct, name, count(*) n, round(quantile_cont(v,0.9),6) q from x group by all""")
 def extreme_threshold(spark, sf):
-    t = quantiles.positive_quantiles(exposed(spark, sf), ["pct"], _ADMIT_COLS, [quantiles.EXTREME_PROB])
+    t = quantiles.positive_quantiles(admission_values(spark, sf), ["pct"], _ADMIT_COLS, [quantiles.EXTREME_PROB])
     return t.select("pct", "name", "n", F.round("q", 6).alias("q"))
 
 
@@ -249,7 +256,7 @@ select row_id, pct, cast(coalesce((vt>=kt)::int,0) as double) "extreme_excd_T_ad
 cast(coalesce((vh>=kh)::int,0) as double) "extreme_excd_HI_admit" from av join k using (pct)""")
 def extreme_flag(spark, sf):
     names = {c: c.replace("zcta_EXCD", "extreme_excd") for c in _ADMIT_COLS}
-    out = quantiles.with_quantile_features(exposed(spark, sf), ["pct"], names, {})
+    out = quantiles.with_quantile_features(admission_values(spark, sf), ["pct"], names, {})
     return out.select(*KEY, *names.values())
 
 
@@ -263,5 +270,5 @@ def _cat(v: str, k: str) -> str:
 select row_id, pct, {_cat('vt', 'kt')} "excd_T_admit_cat", {_cat('vh', 'kh')} "excd_HI_admit_cat" from av join k using (pct)""")
 def exposure_category(spark, sf):
     names = {"zcta_EXCD_T_admit": "excd_T_admit_cat", "zcta_EXCD_HI_admit": "excd_HI_admit_cat"}
-    out = quantiles.with_quantile_features(exposed(spark, sf), ["pct"], {}, names)
+    out = quantiles.with_quantile_features(admission_values(spark, sf), ["pct"], {}, names)
     return out.select(*KEY, *names.values())

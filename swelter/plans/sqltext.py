@@ -120,17 +120,19 @@ def smooth(src: str, out: str, opened: str | None = None) -> str:
 
 
 def components(src: str, out: str) -> str:
-    """Labels by spreading the smallest cell number to the neighbours until nothing changes."""
-    return f"""{out}_n as (select d, r*50+c cell, r, c from {src}),
+    """Labels by spreading the smallest cell number between touching row runs until nothing changes."""
+    return f"""{out}_s as (select d, r, c, c - row_number() over (partition by d, r order by c) k from {src}),
+{out}_n as (select d, r, min(c) c0, max(c) c1, r*50+min(c) cell from {out}_s group by d, r, k),
 {out}_a as (
- select x.d, x.cell, y.cell nb from {out}_n x join {out}_n y on x.d=y.d and y.r between x.r-1 and x.r+1
-  and y.c between x.c-1 and x.c+1 and x.cell<>y.cell),
+ select x.d, x.cell, y.cell nb from {out}_n x join {out}_n y on x.d=y.d and (y.r=x.r-1 or y.r=x.r+1)
+  and x.c0<=y.c1+1 and y.c0<=x.c1+1),
 {out}_p(d, cell, lab) using key (d, cell) as (
  select d, cell, cell from {out}_n
  union
  select a.d, a.nb, min(u.lab) from {out}_p u join {out}_a a on a.d=u.d and a.cell=u.cell
   join recurring.{out}_p k on k.d=a.d and k.cell=a.nb where u.lab < k.lab group by a.d, a.nb),
-{out} as (select d, cast(cell//50 as integer) r, cast(cell%50 as integer) c, cast(lab as bigint) comp from {out}_p)"""
+{out} as (
+ select d, r, cast(unnest(generate_series(c0, c1)) as integer) c, cast(lab as bigint) comp from {out}_n join {out}_p using (d, cell))"""
 
 
 def closure(nodes: str, edges: str, out: str) -> str:
