@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.params import DAY_KEYS
+from swelter.session import ship_package
 
 CLUSTER_KEYS = [*DAY_KEYS, "cluster"]
 RUN_DDL = "measure string, pct double, d date, cluster bigint, r int, c0 int, c1 int"
@@ -67,6 +68,8 @@ def hull_rows(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray
 def convex_hull_runs(extremes: DataFrame) -> DataFrame:
     """Hull of every cluster as runs. A task gets at most one row per grid row of a cluster."""
 
+    ship_package(extremes.sparkSession)
+
     def one(key, table):
         rows, left, right = hull_rows(*(table.column(n).to_numpy() for n in ("r", "c0", "c1")))
         head = {

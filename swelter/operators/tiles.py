@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from swelter.operators.graph import attach_components, connected_components
 from swelter.params import DAY_KEYS, GridShape
-from swelter.session import cut_lineage
+from swelter.session import cut_lineage, ship_package
 
 OPEN_RADIUS = 1
 CLOSE_RADIUS = 2
@@ -156,6 +156,8 @@ def _spread(hot: DataFrame, shape: GridShape, size: int) -> DataFrame:
 
 
 def _per_tile(hot: DataFrame, shape: GridShape, size: int, fn: Callable[[_Tile], pa.Table], ddl: str) -> DataFrame:
+    ship_package(hot.sparkSession)
+
     def run(key, table):
         return fn(_Tile(key, table, shape, size))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_swelter_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # not already running from an archive
+        target = tempfile.mkdtemp(prefix="swelter-pkg-")
+        sc.addPyFile(shutil.make_archive(f"{target}/swelter", "zip", package.parent, package.name))
+    sc._swelter_shipped = True
