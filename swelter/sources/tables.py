@@ -68,11 +68,17 @@ def column_listing(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+def rebalanced(df: DataFrame, by: Sequence[str], sort: Sequence[str] = ()) -> DataFrame:
+    """Bring the rows of an output folder together before a write, so that tasks do not each
+    open a file in every folder. Adaptive execution splits folders that are too big for one
+    task and merges small ones."""
+    return df.hint("rebalance", *by).sortWithinPartitions(*by, *sort)
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Replace exactly the partitions present in ``df``; others stay (dynamic overwrite)."""
-    if sort:
-        df = df.sortWithinPartitions(*by, *sort)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    out = rebalanced(df, by, sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
