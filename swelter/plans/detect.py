@@ -35,7 +35,7 @@ def detect_frames(
     days = kept.select(*DAY_KEYS, "pos", "event", "hsci", "area_km2", "prop_hw").join(
         tracking.dynamics.drop("d"), [*SERIES_KEYS, "pos"]
     )
-    linked = cut_lineage(tracking.linked.join(kept.select(*DAY_KEYS, "pos"), [*SERIES_KEYS, "pos"]))
+    linked = cut_lineage(tracking.linked)
     runs = union_runs(keep_days(seg.runs, kept), DAY_KEYS)
     return {
         "hw_day": days.withColumns({c: F.col(c).cast("float") for c in HW_DAY_FLOATS}),
