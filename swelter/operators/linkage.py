@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from swelter.functions.numeric import EARTH_RADIUS_KM, haversine_km
 from swelter.operators.graph import connected_components
 from swelter.params import DAY_KEYS
+from swelter.session import cut_lineage
 
 BLOCK = 16  # points are grid cells: a 16 x 16 block holds at most 256 different ones
 PAIR_BLOCK = 128
@@ -53,7 +54,8 @@ def single_linkage(points: DataFrame, cutoff_km: float) -> DataFrame:
         {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
     )
     cube = ["cx", "cy", "cz"]
-    placed = placed.withColumns({c: F.floor(F.col(ax) / F.lit(side)) for c, ax in zip(cube, "xyz")})
+    # one row per component, read by every step below: stored once
+    placed = cut_lineage(placed.withColumns({c: F.floor(F.col(ax) / F.lit(side)) for c, ax in zip(cube, "xyz")}))
     cubes = _boxes(placed, [*DAY_KEYS, *cube], F.min("comp").alias("rep"))
     star = placed.join(cubes.select(*DAY_KEYS, *cube, "rep"), [*DAY_KEYS, *cube]).select(
         *DAY_KEYS, F.col("comp").alias("a"), F.col("rep").alias("b")
@@ -64,7 +66,7 @@ def single_linkage(points: DataFrame, cutoff_km: float) -> DataFrame:
     moved = cubes.withColumn("_s", shift).withColumns(
         {c: F.col(c) + F.col(f"_s.{n}") for c, n in zip(cube, ("i", "j", "k"))}
     )
-    near = (
+    near = cut_lineage(
         moved.alias("p")
         .join(cubes.alias("q"), [*DAY_KEYS, *cube])
         .withColumns({"gap": _box_gap2(True), "reach": _box_gap2(False)})
