@@ -161,7 +161,10 @@ def _per_tile(hot: DataFrame, shape: GridShape, size: int, fn: Callable[[_Tile],
     def run(key, table):
         return fn(_Tile(key, table, shape, size))
 
-    return _spread(hot, shape, size).groupBy(*DAY_KEYS, "tr", "tc").applyInArrow(run, ddl)
+    # the work per tile is far larger than its bytes, so partitions must not be merged by size
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile_keys = [*DAY_KEYS, "tr", "tc"]
+    return _spread(hot, shape, size).repartition(tasks, *tile_keys).groupBy(*tile_keys).applyInArrow(run, ddl)
 
 
 def _day_columns(tile: _Tile, n: int) -> dict[str, pa.Array]:
