@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from swelter.session import cut_lineage
+from swelter.session import cut_lineage, ship_package
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,3 +49,25 @@ def store(df: DataFrame) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text; none for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def map_text(df: DataFrame, fn: Callable[[list], list[pa.Array]], out: str, keep_text: bool = False) -> DataFrame:
+    """``fn`` over the column ``text`` in Arrow batches; the other columns pass through untouched.
+
+    ``fn`` gets the texts of a batch (None for NULL) and gives one array for every field of
+    the schema ``out``. Tasks hold one batch at a time.
+    """
+    ship_package(df.sparkSession)
+    kept = [c for c in df.columns if keep_text or c != "text"]
+    added = StructType.fromDDL(out)
+    schema = StructType([df.schema[c] for c in kept] + added.fields)
+    names = [f.name for f in schema.fields]
+    types = to_arrow_schema(added).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch.column("text").to_pylist())
+            made = [a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+
+    return df.mapInArrow(run, schema)
