@@ -51,14 +51,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def map_text(df: DataFrame, fn: Callable[[list], list[pa.Array]], out: str, keep_text: bool = False) -> DataFrame:
-    """``fn`` over the column ``text`` in Arrow batches; the other columns pass through untouched.
+def map_text(
+    df: DataFrame, fn: Callable[..., list], out: str, inputs: tuple[str, ...] = ("text",), keep_inputs: bool = False
+) -> DataFrame:
+    """``fn`` over the ``inputs`` columns in Arrow batches; the other columns pass through untouched.
 
-    ``fn`` gets the texts of a batch (None for NULL) and gives one array for every field of
-    the schema ``out``. Tasks hold one batch at a time.
+    ``fn`` gets a list of values (None for NULL) per input and gives one list or array for
+    every field of the schema ``out``. Tasks hold one batch at a time.
     """
     ship_package(df.sparkSession)
-    kept = [c for c in df.columns if keep_text or c != "text"]
+    kept = [c for c in df.columns if keep_inputs or c not in inputs]
     added = StructType.fromDDL(out)
     schema = StructType([df.schema[c] for c in kept] + added.fields)
     names = [f.name for f in schema.fields]
@@ -66,7 +68,7 @@ def map_text(df: DataFrame, fn: Callable[[list], list[pa.Array]], out: str, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(batch.column("text").to_pylist())
+            made = fn(*[batch.column(c).to_pylist() for c in inputs])
             made = [a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
 

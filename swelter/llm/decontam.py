@@ -247,7 +247,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, keep_te
                 built.append(Block.of(sent.value))
             return [[matched_items(t, built) for t in texts]]
 
-        out = map_text(out, search, "_more array<bigint>", keep_text=True)
+        out = map_text(out, search, "_more array<bigint>", keep_inputs=True)
         out = out.withColumn("_found", F.concat("_found", "_more")).drop("_more")
     found = F.array_sort(F.array_distinct("_found")).alias("item_ids")
     return out.select(*keep, *(["text"] if keep_text and "text" not in keep else []), found)
