@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,24 +141,21 @@ def pack_documents(
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     chars = docs.agg((F.sum(F.length("text")) + 16 * F.count(F.lit(1))).alias("n")).first()["n"] or 0
     shards = max(1, -(-chars // shard_chars))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
-    dealt = docs.withColumn("shard", shard).repartition(int(shards), "shard")
+    # the partition is the shard: one more hash from shard numbers to partitions would double some up
+    dealt = docs.repartition(int(shards), F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens, blocks = {}, {}, {}
+        shard, block, pieces, tokens = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for doc_id, text, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shard"))):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = token_ids(text, vocabulary)
-                pieces = held.setdefault(shard, [])
                 pieces.extend((doc_id, k, ids[at : at + row_tokens]) for k, at in enumerate(range(0, len(ids), row_tokens)))
-                tokens[shard] = tokens.get(shard, 0) + len(ids)
-                if sum(tokens.values()) >= BLOCK_TOKENS:
-                    full = max(tokens, key=tokens.get)
-                    yield from _pack(held.pop(full), full, blocks.get(full, 0), row_tokens)
-                    blocks[full] = blocks.get(full, 0) + 1
-                    del tokens[full]
-        for shard in sorted(held):
-            yield from _pack(held[shard], shard, blocks.get(shard, 0), row_tokens)
+                tokens += len(ids)
+                if tokens >= BLOCK_TOKENS:
+                    yield from _pack(pieces, shard, block, row_tokens)
+                    block, pieces, tokens = block + 1, [], 0
+        if pieces:
+            yield from _pack(pieces, shard, block, row_tokens)
 
     return dealt.mapInArrow(run, SCHEMA)
 
