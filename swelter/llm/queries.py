@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import decontam, host_rules, mixing, packing, quality_fm, simhash
+from swelter.llm import decontam, host_rules, language_spans, mixing, packing, quality_fm, simhash
 from swelter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(host_rules.SQL)
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans.identify_languages(table(spark, sf_dir, "documents"))
