@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import decontam, host_rules, language_spans, mixing, packing, quality_fm, simhash
+from swelter.llm import decontam, host_rules, language_spans, line_runs, mixing, packing, quality_fm, simhash
 from swelter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,11 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@_query(line_runs.SQL)
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("n_kept_chars"), F.md5("kept").alias("kept_md5")
+    )
