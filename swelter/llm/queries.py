@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import decontam, host_rules, language_spans, line_runs, mixing, packing, quality_fm, simhash
+from swelter.llm import decontam, host_rules, language_spans, line_runs, mixing, packing, quality_fm, revisits, simhash
 from swelter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,14 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@_query(revisits.SQL)
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures_of(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id", "canonical", F.col("at").alias("captured_at"), "outcome", "refers_to", revisits.header_lines(F.col("headers")).alias("headers")
+    )
+
+
 @_query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
