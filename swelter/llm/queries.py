@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import decontam, host_rules, language_spans, line_runs, mixing, packing, quality_fm, revisits, simhash
+from swelter.llm import decontam, host_rules, html_crf, language_spans, line_runs, mixing, packing, quality_fm, revisits, simhash
 from swelter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @_query()
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
