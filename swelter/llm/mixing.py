@@ -18,7 +18,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 64
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 #: Words that a row counts as beside its own, so shards of empty rows stay bounded too.
 ROW_WORDS = 64
 SEED = 20
@@ -29,8 +29,9 @@ def _hash_int(text: Column) -> Column:
 
 
 def row_key() -> Column:
-    """Equal for rows with the same id and text only."""
-    return F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    """Equal for rows with the same id, source and text only."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    return F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("doc_id").cast("string"), "source", text))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def mixed_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 SQL = f"""
 WITH s0 AS (
-  SELECT md5(concat_ws('|', '{SEED}', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key, doc_id, source,
+  SELECT md5(concat_ws('|', '{SEED}', doc_id::VARCHAR, source, md5(coalesce(text, '')))) AS key, doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s1 AS (SELECT key, doc_id, source, size, count(*) AS copies FROM s0 GROUP BY ALL),
