@@ -88,7 +88,10 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     )
     found = found.withColumn("outcome", outcome).withColumn("refers_to", F.when(F.col("outcome") == "resolved", F.col("response.record_id")))
     stored = full.select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored")).dropDuplicates(["refers_to"])
-    found = found.join(stored, "refers_to", "left")
+    # rows that refer to nothing would all meet at one key
+    found = found.where("refers_to is not null").join(stored, "refers_to").unionByName(
+        found.where("refers_to is null").withColumn("stored", F.lit(None).cast("map<string,string>"))
+    )
     update = F.map_filter("headers", lambda k, _: ~k.isin(*NOT_UPDATED))
     rest = F.map_filter("stored", lambda k, _: ~F.array_contains(F.map_keys(update), k))
     merged = F.when(F.col("outcome") == "resolved", F.map_concat(rest, update)).otherwise(F.col("headers"))
