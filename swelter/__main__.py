@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--t-rasters")
     p.add_argument("--td-rasters")
     p.add_argument("--glob", default="*.zip")
-    p.add_argument("--cache", help="folder of daily .npz or .mat caches")
+    p.add_argument("--cache", help="folder of daily .npz caches")
     p.add_argument("--cache-glob", default="HI_*.npz")
 
     p = job("detect", "heat-wave days, clusters and events")
@@ -48,18 +48,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--png")
     p.add_argument("--title", default="Annual Accumulated HSCI")
 
-    p = sub.add_parser("inspect", help="list the variables of a .mat file or the columns of a table")
+    p = sub.add_parser("inspect", help="list the columns of a table")
     p.add_argument("path")
     return top
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    if args.job == "inspect" and args.path.endswith(".mat"):
-        from swelter.sources.scientific import mat_variables
-
-        print("\n".join(mat_variables(args.path)))
-        return
     spark = build_session()
     if args.job == "inspect":
         from swelter.sources.tables import column_listing

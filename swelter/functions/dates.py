@@ -60,12 +60,6 @@ def datenum_to_date(value: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(value) - DATENUM_EPOCH).cast("int"))
 
 
-def datenum_to_timestamp(value: Column) -> Column:
-    """Fractional days kept, to the microsecond."""
-    micros = F.round((value - F.lit(float(DATENUM_EPOCH))) * F.lit(86_400_000_000.0)).cast("bigint")
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
-
-
 def parse_dates_mixed(number: Column, text: Column) -> Column:
     """Date from a day number where there is one, otherwise from ISO text."""
     iso = strip(text)

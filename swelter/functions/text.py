@@ -38,13 +38,3 @@ def find_column(columns: Sequence[str], candidates: Iterable[str]) -> str | None
             if hits:
                 return hits[-1]
     return None
-
-
-def resolve_name(columns: Sequence[str], requested: str) -> str:
-    """Exact name, else the only one equal up to case; otherwise an error listing the names."""
-    if requested in columns:
-        return requested
-    hits = [c for c in columns if c.lower() == requested.lower()]
-    if len(hits) == 1:
-        return hits[0]
-    raise KeyError(f"no variable {requested!r}; available: {', '.join(columns) or '<none>'}")

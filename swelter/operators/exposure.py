@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from swelter.functions.numeric import as_flag
 from swelter.params import LONG_WINDOWS, MAX_BACK_DAYS, PRIOR_WINDOWS
-from swelter.session import broadcast_if_small
 
 LINE = ["pct", "zip"]
 
@@ -62,7 +61,7 @@ def zip_timeline(
         .agg(F.max("v_t").alias("v_t"), F.max("v_hi").alias("v_hi"), F.max("near").alias("near"),
              F.max("anchor").alias("anchor"))
     )
-    domain = broadcast_if_small(hw_dates_hi.select("pct", "d").distinct().withColumn("_hw", F.lit(True)))
+    domain = hw_dates_hi.select("pct", "d").distinct().withColumn("_hw", F.lit(True))
     return (
         merged.join(domain, ["pct", "d"], "left")
         .withColumn("domain", F.coalesce("_hw", F.lit(False)))
@@ -152,12 +151,12 @@ def attach_exposure(
     leaves ZIP features NULL but keeps the index sums; a T value on a day outside the
     heat-wave list is 0, on a listed day without a hot cell in the window it is NULL.
     """
-    located = broadcast_if_small(zones.select("zip").distinct().withColumn("_zone", F.lit(True)))
+    located = zones.select("zip").distinct().withColumn("_zone", F.lit(True))
     out = (
         patients.withColumn("pct", per_percentile(pcts))
         .join(located, "zip", "left")
         .join(features, ["pct", "zip", "admit"], "left")
-        .join(broadcast_if_small(hsci), ["pct", "admit"], "left")
+        .join(hsci, ["pct", "admit"], "left")
     )
     dated, zoned = F.col("admit").isNotNull(), F.col("_zone").isNotNull()
     sums = [c for c in hsci.columns if c.endswith("_prior")]

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.session import broadcast_if_small
 
 
 def affine_axis(spark: SparkSession, n: int, origin: float, step: float) -> DataFrame:
@@ -24,7 +23,7 @@ def flat_index(r: Column, c: Column, ny: int | Column) -> Column:
 
 def axis_at_cell(df: DataFrame, axis: DataFrame, index: str, out: str) -> DataFrame:
     """Add the coordinate of cell ``index``."""
-    side = broadcast_if_small(axis.select(F.col("idx").alias(index), F.col("coord").alias(out)))
+    side = axis.select(F.col("idx").alias(index), F.col("coord").alias(out))
     return df.join(side, index, "left")
 
 
@@ -33,7 +32,7 @@ def interp_axis(df: DataFrame, axis: DataFrame, position: str, out: str) -> Data
     nxt = axis.select((F.col("idx") - 1).alias("idx"), F.col("coord").alias("_b"))
     seg = axis.select("idx", F.col("coord").alias("_a")).join(nxt, "idx", "left")
     last = axis.select((F.max("idx") + 1).cast("double").alias("n")).scalar()
-    seg = broadcast_if_small(seg.withColumnRenamed("idx", "_i"))
+    seg = seg.withColumnRenamed("idx", "_i")
     pos = F.greatest(F.lit(1.0), F.least(F.col(position), last))
     placed = df.withColumn("_pos", pos).withColumn("_i", (F.floor("_pos") - 1).cast("int"))
     frac = F.col("_pos") - F.floor("_pos")
@@ -65,7 +64,7 @@ def nearest_index(points: DataFrame, axis: DataFrame, coord: str, out: str, key:
         *key, "_x", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_bucket")
     )
     best = (
-        probe.join(broadcast_if_small(side), "_bucket")
+        probe.join(side, "_bucket")
         .groupBy(*key)
         .agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_x")).alias("gap"), F.col("idx"))).alias("_best"))
         .select(*key, F.col("_best.idx").alias(out))

@@ -22,11 +22,6 @@ def row_extremes(pieces: DataFrame) -> DataFrame:
     )
 
 
-def bounding_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """First and last column per group and row of a cell table."""
-    return cells.groupBy(*keys, "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-
-
 def _left_boundary(y: np.ndarray, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Smallest whole column in the hull for every row.
 

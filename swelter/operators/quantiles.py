@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions.numeric import as_flag
-from swelter.session import broadcast_if_small
+from swelter.session import cut_lineage
 
 ACCURACY = 20_000
+#: Parts that the values of a group are cut into before ranking.
+BUCKETS = 200
 EXTREME_PROB = 0.90
 TERCILES = (1.0 / 3.0, 2.0 / 3.0)
 
@@ -20,58 +22,40 @@ def positive_quantiles(
 ) -> DataFrame:
     """``(*by, name, p, n, q)`` for the positive values of every column.
 
-    The sketch behind ``percentile_approx`` brackets each quantile between two values whose
-    ranks are guaranteed; the values outside are only counted and the few distinct values
-    between them are ranked exactly: a share of about ``8 / accuracy``, or everything in groups
-    too small for the sketch to matter. No large group is gathered or sorted whole. Groups
-    without a positive value are absent. A bracket that missed its rank would raise, not guess.
+    A sketch cuts the values of a group into about ``BUCKETS`` parts. Values are counted per
+    part, so the part that holds a rank is known exactly however good the sketch was, and
+    only the distinct values of that part are ordered. The way is the same for every size;
+    no task orders more than one part. Groups without a positive value are absent.
     """
     long = df.select(
         *by, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
     ).where("v > 0 and v < double('Infinity')")
     keys = [*by, "name"]
-    slack = 4.0 / accuracy
-    small = F.col("n") < F.lit(10 / slack)  # fewer than ten ranks of slack: take all values
-    ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    bracket = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("_e"), F.max("v").alias("_max"),
-        F.min("v").alias("_min"),
+    tally = cut_lineage(long.groupBy(*keys, "v").agg(F.count("*").alias("m")))
+    cuts = [k / BUCKETS for k in range(1, BUCKETS)]
+    bounds = tally.groupBy(*keys).agg(
+        F.sum("m").alias("n"), F.percentile_approx("v", cuts, accuracy).alias("_cuts")
     )
-    pos = F.col("n") - 1
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.floor(F.lit(p) * pos).alias("k"),
-                (F.lit(p) * pos - F.floor(F.lit(p) * pos)).alias("frac"),
-                F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("lo"),
-                F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    want = bracket.select(*keys, "n", F.inline(targets))
-    tally = long.groupBy(*keys, "v").agg(F.count("*").alias("m"))
-    met = tally.join(broadcast_if_small(want), keys).where("v <= hi")
-    inside = met.where("v >= lo").select(*keys, "p", "n", "k", "frac", "v", "m")
-    below = met.where("v < lo").groupBy(*keys, "p").agg(F.sum("m").alias("below"))
-    ranked = inside.join(below, [*keys, "p"], "left").withColumn(
-        "upto",
-        F.coalesce("below", F.lit(0))
-        + F.sum("m").over(
-            Window.partitionBy(*keys, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    at_k = F.min(F.when(F.col("upto") >= F.col("k") + 1, F.col("v")))
-    at_next = F.min(F.when(F.col("upto") >= F.least(F.col("k") + 2, F.col("n")), F.col("v")))
-    first_below = F.first(F.coalesce("below", F.lit(0)))
-    found = ranked.groupBy(*keys, "p", "n", "k", "frac").agg(
-        at_k.alias("a"), at_next.alias("b"), first_below.alias("below")
-    )
-    q = F.when(
-        (F.col("below") <= F.col("k")) & F.col("b").isNotNull(), F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")
-    ).otherwise(F.raise_error(F.lit("quantile bracket does not contain its rank")))
-    return found.select(*keys, "p", "n", q.alias("q"))
+    tally = tally.join(bounds, keys).withColumn("part", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
+    parts = tally.groupBy(*keys, "part", "n").agg(F.sum("m").alias("held"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    last = F.col("n") - 1
+    ranks = [
+        F.struct(
+            F.lit(p).alias("p"), F.lit(side).alias("side"), F.least(F.floor(F.lit(p) * last) + side, last).alias("rank"),
+            (F.lit(p) * last - F.floor(F.lit(p) * last)).alias("frac"),
+        )
+        for p in probs
+        for side in (0, 1)
+    ]
+    want = parts.select("*", F.inline(F.array(*ranks))).where("rank >= start and rank < start + held")
+    upto = F.sum("m").over(Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = tally.join(want.select(*keys, "part").distinct(), [*keys, "part"]).select(*keys, "part", "v", "m", upto.alias("upto"))
+    found = inside.join(want, [*keys, "part"]).where("rank >= start + upto - m and rank < start + upto")
+    value = lambda side: F.max(F.when(F.col("side") == side, F.col("v")))
+    ends = found.groupBy(*keys, "p", "n", "frac").agg(value(0).alias("a"), value(1).alias("b"))
+    return ends.select(*keys, "p", "n", (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("q"))
 
 
 def with_quantiles(df: DataFrame, by: list[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -88,7 +72,7 @@ def with_quantiles(df: DataFrame, by: list[str], columns: Sequence[str], probs:
             for c in columns
         ]
     )
-    return df.join(broadcast_if_small(wide), by, "left")
+    return df.join(wide, by, "left")
 
 
 def extreme_flag(value: Column, threshold: Column) -> Column:

@@ -20,7 +20,7 @@ from swelter.operators.hulls import (
 from swelter.operators.linkage import single_linkage
 from swelter.operators.tiles import component_table, labelled_pieces
 from swelter.params import DAY_KEYS, DetectParams, GridShape
-from swelter.session import broadcast_if_small, cut_lineage
+from swelter.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,8 @@ def day_cell_counts(mag: DataFrame, *extra: Column) -> DataFrame:
 
 
 def keep_days(df: DataFrame, days: DataFrame) -> DataFrame:
-    """Semi-join on the day keys. The day list is bounded by the calendar; its size is still
-    checked before it is broadcast."""
-    return df.join(broadcast_if_small(cut_lineage(days.select(*DAY_KEYS))), DAY_KEYS, "left_semi")
+    """Semi-join on the day keys; the stored day list is bounded by the calendar."""
+    return df.join(cut_lineage(days.select(*DAY_KEYS)), DAY_KEYS, "left_semi")
 
 
 def day_gate(mag: DataFrame, min_hot_cells: int) -> DataFrame:

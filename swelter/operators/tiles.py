@@ -301,10 +301,7 @@ def stitch_pieces(pieces: DataFrame) -> DataFrame:
 
 def labelled_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataFrame:
     """``component_pieces`` with ``comp``, the smallest row-major cell of the whole component."""
-    pieces = component_pieces(hot, shape, size)
-    if shape.ny <= size and shape.nx <= size:
-        return pieces.withColumn("comp", F.col("node"))
-    return stitch_pieces(cut_lineage(pieces))
+    return stitch_pieces(cut_lineage(component_pieces(hot, shape, size)))
 
 
 def component_table(pieces: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swelter.functions.numeric import haversine_km, nan_to_null
 from swelter.functions.text import LAT_NAMES, LON_NAMES, ZIP_NAMES, find_column, normalize_zip
 from swelter.operators.grid import axis_at_cell, nearest_index
 from swelter.params import GridShape
-from swelter.session import broadcast_if_small
 
 
 def zip_centroids(raw: DataFrame) -> DataFrame:
@@ -68,14 +67,14 @@ def zip_day(mag: DataFrame, cells: DataFrame, nearest: bool = False) -> DataFram
 
     With ``nearest`` also the exceeding cell closest to the centroid (first in row-major
     order on ties) as ``near_km`` and ``near_mag``. The window table has at most one entry
-    per ZIP code and window cell; it is broadcast if its row count allows, so the cube is
-    filtered and partially aggregated where it is read.
+    per ZIP code and window cell; stored, so that Spark knows whether it is small enough to copy
+    and the cube is then filtered and partially aggregated where it is read.
     """
     aggs = [F.avg("mag").alias("v")]
     if nearest:
         first = F.min_by(F.struct("km", "mag"), F.struct("km", "r", "c")).alias("near")
         aggs.append(first)
-    hot = mag.where("mag > 0").join(broadcast_if_small(cells), ["r", "c"])
+    hot = mag.where("mag > 0").join(cells, ["r", "c"])
     return hot.groupBy("pct", "zip", "d").agg(*aggs)
 
 
@@ -83,10 +82,4 @@ def spatial_window(mag: DataFrame, windows: DataFrame) -> DataFrame:
     """Raw cells of the cube inside each ZIP window."""
     cells = windows.select("zip", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1")
     cells = cells.select("zip", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return mag.join(broadcast_if_small(cells), ["r", "c"])
-
-
-def latest_row(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last row per key in the given order, all columns kept."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return df.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+    return mag.join(cells, ["r", "c"])

@@ -71,14 +71,3 @@ def check_percentile(pct: float) -> float:
 def percentile_tag(pct: float) -> str:
     """``90.0`` -> ``90``, ``97.5`` -> ``97.5``; used in output folder names."""
     return f"{float(pct):g}"
-
-
-def product_paths(root: str, pct: float) -> dict[str, str]:
-    """Where the products of one percentile live below ``root``."""
-    tag = percentile_tag(check_percentile(pct))
-    return {
-        "hw_day_t": f"{root}/hw_day/measure=t/pct={tag}",
-        "hw_day_hi": f"{root}/hw_day/measure=hi/pct={tag}",
-        "mag_hi": f"{root}/mag/measure=hi/pct={tag}",
-        "exposure": f"{root}/exposure/pct={tag}",
-    }

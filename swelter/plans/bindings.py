@@ -24,7 +24,6 @@ from swelter.params import DAY_KEYS, SERIES_KEYS, DetectParams, GridShape
 CELL_COLS = 10
 RASTER_COLS = 50
 PCTS = (80.0, 90.0, 95.0)
-EXPOSURE_PCTS = (80.0, 90.0)
 
 #: Detector settings scaled to the part raster: 1 km cells, components above 12 cells.
 RASTER_PARAMS = DetectParams(
@@ -101,11 +100,11 @@ def raster_shape(spark: SparkSession, sf: str) -> GridShape:
     return _shape(table(spark, sf, "part"), "p_partkey", RASTER_COLS)
 
 
-def mag(spark: SparkSession, sf: str, pcts=EXPOSURE_PCTS) -> DataFrame:
+def mag(spark: SparkSession, sf: str, pcts=PCTS) -> DataFrame:
     return exceedance_fused(cell_day(spark, sf), pcts)
 
 
-def domain_days(spark: SparkSession, sf: str, cells: DataFrame | None = None, pcts=EXPOSURE_PCTS) -> DataFrame:
+def domain_days(spark: SparkSession, sf: str, cells: DataFrame | None = None, pcts=PCTS) -> DataFrame:
     """Season days with the number of exceeding cells, an index, and whether the day is hot.
 
     A day is hot when more cells exceed than on the average season day.
@@ -123,7 +122,7 @@ def domain_days(spark: SparkSession, sf: str, cells: DataFrame | None = None, pc
     return days.select(*DAY_KEYS, "n", (F.col("m") * F.col("n") / total).alias("hsci"), (F.col("n") > mean_n).alias("is_hw"))
 
 
-def hw_day(spark: SparkSession, sf: str, cells: DataFrame | None = None, pcts=EXPOSURE_PCTS) -> DataFrame:
+def hw_day(spark: SparkSession, sf: str, cells: DataFrame | None = None, pcts=PCTS) -> DataFrame:
     """Index on the days that belong to an event."""
     return persistent_days(domain_days(spark, sf, cells, pcts)).drop("is_hw")
 

@@ -17,7 +17,7 @@ from swelter.operators.climatology import (
 )
 from swelter.operators.grid import affine_axis
 from swelter.params import SEASON_MONTHS, check_percentile
-from swelter.session import broadcast_if_small, cut_lineage
+from swelter.session import cut_lineage
 from swelter.sources import rasters
 from swelter.sources.store import Store
 
@@ -80,10 +80,10 @@ def build(store: Store, pcts: Sequence[float] = (80, 90, 95), measures: Sequence
     try:
         if wanted.isEmpty():
             return
-        days = broadcast_if_small(wanted.select("d").distinct())
+        days = wanted.select("d").distinct()
         thr = store.read("threshold").where(F.col("measure").isin(*measures) & F.col("pct").isin(*pcts))
         mag = exceedance_against(cells.join(days, "d", "left_semi"), thr)
-        mag = mag.join(broadcast_if_small(wanted), ["measure", "pct", "d"], "left_semi")
+        mag = mag.join(wanted, ["measure", "pct", "d"], "left_semi")
         # the calendar is written last: a run that dies before leaves the days marked as missing
         if store.exists("mag_calendar"):
             _replace_days(store, mag)
@@ -103,7 +103,7 @@ def _replace_days(store: Store, mag: DataFrame) -> None:
     touched = new.select(*parts).distinct()
     kept = (
         store.read("mag")
-        .join(broadcast_if_small(touched), parts, "left_semi")
-        .join(broadcast_if_small(done), ["measure", "pct", "d"], "left_semi")
+        .join(touched, parts, "left_semi")
+        .join(done, ["measure", "pct", "d"], "left_semi")
     )
     store.write("mag", cut_lineage(kept.select(*new.columns).unionByName(new)))

@@ -13,7 +13,7 @@ from swelter.operators.events import event_summary, number_days, persistent_days
 from swelter.operators.hulls import restrict_to_runs, union_runs
 from swelter.operators.segments import keep_days, segment_days
 from swelter.params import DAY_KEYS, SERIES_KEYS, DetectParams, check_percentile
-from swelter.session import broadcast_if_small, cut_lineage
+from swelter.session import cut_lineage
 from swelter.sources.store import Store
 from swelter.sources.tables import write_csv
 
@@ -27,7 +27,7 @@ def detect_frames(
     seg = segment_days(mag, axis_row, axis_col, shape, params)
     flagged = (
         calendar.where(in_season(F.col("d"))).select(*DAY_KEYS)
-        .join(broadcast_if_small(seg.days), DAY_KEYS, "left")
+        .join(seg.days, DAY_KEYS, "left")
         .withColumn("is_hw", F.col("area_km2").isNotNull())
     )
     kept = cut_lineage(number_days(persistent_days(flagged, params.min_duration, params.grace_days)))

@@ -54,18 +54,18 @@ def daily_exceedance(spark, sf):
     return stats.select(*DAY_KEYS, "n_cells", _r("mean_mag"), _r("max_mag", 4))
 
 
-@query(f"with {q.hw_days(b.EXPOSURE_PCTS)} select measure, pct, d, round(hsci,6) hsci from hw")
+@query(f"with {q.hw_days(b.PCTS)} select measure, pct, d, round(hsci,6) hsci from hw")
 def hsci_series(spark, sf):
     return summary.hsci_series(b.hw_day(spark, sf)).select(*DAY_KEYS, _r("hsci"))
 
 
-@query(f"with {q.hw_days(b.EXPOSURE_PCTS)} select measure, pct, d, cast(event as integer) event from hw")
+@query(f"with {q.hw_days(b.PCTS)} select measure, pct, d, cast(event as integer) event from hw")
 def hw_events(spark, sf):
     return events.persistent_days(b.domain_days(spark, sf)).select(*DAY_KEYS, "event")
 
 
 def _ahsci(period: str) -> str:
-    return f"""with {q.hw_days(b.EXPOSURE_PCTS)} select measure, pct, {period}, round(sum(hsci),5) ahsci,
+    return f"""with {q.hw_days(b.PCTS)} select measure, pct, {period}, round(sum(hsci),5) ahsci,
 count(*) filter (where hsci>0) heatwave_days from hw group by all"""
 
 
@@ -87,7 +87,7 @@ def ahsci_month_of_year(spark, sf):
     return out.withColumn("ahsci", F.round("ahsci", 5))
 
 
-@query(f"""with {q.hw_days(b.EXPOSURE_PCTS)},
+@query(f"""with {q.hw_days(b.PCTS)},
 i as (select measure, pct, d, row_number() over (partition by measure, pct order by d)
  - date_diff('day', date '1970-01-01', d) k from hw)
 select measure, pct, min(d) as "start", max(d) as "end" from i group by measure, pct, k""")

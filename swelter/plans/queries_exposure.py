@@ -14,7 +14,7 @@ from swelter.plans import sqltext as q
 from swelter.plans.registry import query
 from swelter.session import cut_lineage
 
-PCTS = b.EXPOSURE_PCTS
+PCTS = b.PCTS
 KEY = ["row_id", "pct"]
 
 

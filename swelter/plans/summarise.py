@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swelter.operators.summary import accumulate_hsci
+from swelter.params import MEASURES, percentile_tag
 from swelter.sources.store import Store
 from swelter.sources.tables import write_csv
 
-MAX_POINTS = 10_000
-
 
 def summarise(
     store: Store, measure: str = "t", pct: float = 90, group_by: str = "year", png: str | None = None,
@@ -21,14 +20,14 @@ def summarise(
     if out.isEmpty():
         raise ValueError("no finite index values for this measure and percentile")
     order = [c for c in ("year", "month_number", "month") if c in out.columns][:1]
-    write_csv(out, store.path(f"csv/ahsci_{measure}_{pct:g}_{group_by}"), order)
+    write_csv(out, store.path(f"csv/ahsci_{measure}_{percentile_tag(pct)}_{group_by}"), order)
     if png:
-        draw(out.orderBy(*order).limit(MAX_POINTS).collect(), png, title, group_by)
+        draw(out.orderBy(*order).collect(), png, title, group_by, MEASURES[measure].index_name)
     return out.orderBy(*order)
 
 
-def draw(rows: list, png: str, title: str, group_by: str) -> None:
-    """Line per year or month, bars per calendar month. Periods number at most a few hundred."""
+def draw(rows: list, png: str, title: str, group_by: str, index: str) -> None:
+    """Line per year or month, bars per calendar month. One row per period of the calendar."""
     import matplotlib
 
     matplotlib.use("Agg")
@@ -41,6 +40,6 @@ def draw(rows: list, png: str, title: str, group_by: str) -> None:
         ax.bar(x, y)
     else:
         ax.plot(x, y, marker="o")
-    ax.set(title=title, ylabel="Accumulated HSCI (AHSCI)", xlabel="Year" if group_by == "year" else "Month")
+    ax.set(title=title, ylabel=f"Accumulated {index} (A{index})", xlabel="Year" if group_by == "year" else "Month")
     fig.savefig(png)
     plt.close(fig)

@@ -1,4 +1,4 @@
-"""Session set-up and the two cluster-safety helpers every operator shares."""
+"""Session set-up and the helpers every operator shares."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest table (in rows) a join side may have before a broadcast hint is withheld.
-BROADCAST_MAX_ROWS = 2_000_000
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,13 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger tables keep the shuffled join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per Spark context."""
     sc = spark.sparkContext

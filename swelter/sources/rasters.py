@@ -80,8 +80,6 @@ def decode_raster(path: str, body: bytes) -> np.ndarray:
 
 def decode_cache(path: str, body: bytes, tvar: str) -> tuple[np.ndarray, np.ndarray]:
     """Heat index and temperature of a daily cache; the variable tag must match."""
-    if path.lower().endswith(".mat"):
-        return decode_mat_cache(body, tvar)
     with np.load(io.BytesIO(body), allow_pickle=False) as data:
         absent = {"HI", "T2", "tvar"} - set(data.files)
         if absent:
@@ -90,16 +88,6 @@ def decode_cache(path: str, body: bytes, tvar: str) -> tuple[np.ndarray, np.ndar
         return np.asarray(data["HI"], np.float32), np.asarray(data["T2"], np.float32)
 
 
-def decode_mat_cache(body: bytes, tvar: str) -> tuple[np.ndarray, np.ndarray]:
-    """The same from an HDF5 .mat file, which stores arrays transposed and text as codes."""
-    import h5py  # optional dependency
-
-    with h5py.File(io.BytesIO(body), "r") as f:
-        codes = np.asarray(f["tvar"]).ravel()
-        check_tag("".join(chr(int(x)) if codes.dtype.kind in "ui" else str(x) for x in codes), tvar)
-        return np.asarray(f["HI"], np.float32).T, np.asarray(f["T2"], np.float32).T
-
-
 def check_tag(found: str, wanted: str) -> None:
     if found != wanted:
         raise ValueError(f"cache holds {found!r}, not {wanted!r}")

@@ -82,10 +82,10 @@ def test_dates_from_strings_skip_longer_numbers(spark):
 def test_day_numbers(spark):
     row = one(
         spark, a=dates.datenum_to_date(F.lit(719529.0)), b=dates.datenum_to_date(F.lit(738000.75)),
-        c=dates.datenum_to_timestamp(F.lit(719529.5)), d=dates.from_yyyymmdd(F.lit(20240229.0)),
+        d=dates.from_yyyymmdd(F.lit(20240229.0)),
         e=dates.from_yyyymmdd(F.lit(20230229)),
     )
-    assert row == (dt.date(1970, 1, 1), dt.date(2020, 7, 28), dt.datetime(1970, 1, 1, 12), dt.date(2024, 2, 29), None)
+    assert row == (dt.date(1970, 1, 1), dt.date(2020, 7, 28), dt.date(2024, 2, 29), None)
 
 
 def test_length_of_stay(spark):
@@ -107,9 +107,6 @@ def test_normalize_zip(spark, raw, want):
 def test_column_lookup():
     assert text.find_column(["Postal_Code", "LAT", "Longitude "], text.ZIP_NAMES) == "Postal_Code"
     assert text.find_column(["x"], text.LAT_NAMES) is None
-    assert text.resolve_name(["Dates", "Dir"], "dates") == "Dates"
-    with pytest.raises(KeyError, match="Dates"):
-        text.resolve_name(["Dates", "DATES"], "dates")
 
 
 @pytest.mark.parametrize("pct", [0, 100, -5])
@@ -120,7 +117,6 @@ def test_bad_percentiles_are_rejected(pct):
 
 def test_names_and_defaults():
     assert [params.percentile_tag(p) for p in (80, 90.0, 97.5)] == ["80", "90", "97.5"]
-    assert params.product_paths("/p", 95)["mag_hi"] == "/p/mag/measure=hi/pct=95"
     p = params.DetectParams(region_area_km2=1.0)
     assert (p.min_pixels, p.min_duration, p.grace_days) == (1563, 3, 1)
     assert params.MEASURES["hi"].index_name == "HSCI-H"

@@ -191,18 +191,6 @@ def test_raster_bytes():
         rasters.decode_archive(buf.getvalue())
 
 
-def test_hdf5_cache_round_trip(tmp_path):
-    h5py = pytest.importorskip("h5py")
-    hi = np.arange(12, dtype=np.float32).reshape(3, 4)
-    with h5py.File(tmp_path / "HI_20230715.mat", "w") as f:
-        f["HI"], f["T2"], f["tvar"] = hi.T, hi.T + 20, np.array([ord(x) for x in "tmax"], np.uint16)
-    body = (tmp_path / "HI_20230715.mat").read_bytes()
-    got = rasters.decode_cache("HI_20230715.mat", body, "tmax")
-    assert np.array_equal(got[0], hi)
-    with pytest.raises(ValueError):
-        rasters.decode_cache("HI_20230715.mat", body, "tmean")
-
-
 def test_axis_from_transform(spark):
     got = [r.coord for r in affine_axis(spark, 3, 35.005, -0.01).orderBy("idx").collect()]
     assert got == pytest.approx([35.0, 34.99, 34.98], abs=1e-5)
