@@ -26,10 +26,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--glob", default="*.zip")
     p.add_argument("--cache", help="folder of daily .npz caches")
     p.add_argument("--cache-glob", default="HI_*.npz")
+    p.add_argument("--axes", help="folder of rasters with the grid of the caches")
+    p.add_argument("--days", help="CSV or Parquet table of wanted days")
 
     p = job("detect", "heat-wave days, clusters and events")
     p.add_argument("--measure", choices=("t", "hi"), nargs="+", default=["t", "hi"])
-    p.add_argument("--region-area-km2", type=float, required=True)
+    area = p.add_mutually_exclusive_group(required=True)
+    area.add_argument("--region-area-km2", type=float)
+    area.add_argument("--region-areas", help="CSV or Parquet table of areas, summed over its area column")
     for name, default in (
         ("min-area-km2", 1000.0), ("hull-gate-km2", 1000.0), ("pixel-size-km", 0.8), ("cluster-cutoff-km", 1000.0)
     ):
@@ -63,19 +67,23 @@ def main(argv: list[str] | None = None) -> None:
         return
     store = Store(spark, args.root, args.tvar)
     if args.job == "build":
-        from swelter.plans.build import build, ingest_cache, ingest_rasters
+        from swelter.plans.build import build, ingest_axes, ingest_cache, ingest_rasters, read_days
 
-        failed = []
+        failed = 0
         if args.t_rasters and args.td_rasters:
-            failed.append(ingest_rasters(store, args.t_rasters, args.td_rasters, args.glob))
+            failed += ingest_rasters(store, args.t_rasters, args.td_rasters, args.glob).count()
+        if args.axes:
+            ingest_axes(store, args.axes, args.glob)
         if args.cache:
-            failed.append(ingest_cache(store, args.cache, args.cache_glob))
-        for files in failed:
-            files.show(50, truncate=False)
-        build(store, args.pct)
+            failed += ingest_cache(store, args.cache, args.cache_glob).count()
+        if failed:
+            print(f"{failed} files could not be read; the last list is {store.path('failed_files')}")
+        build(store, args.pct, days=read_days(spark, args.days) if args.days else None)
     elif args.job == "detect":
-        from swelter.plans.detect import detect
+        from swelter.plans.detect import detect, region_area
 
+        if args.region_areas:
+            args.region_area_km2 = region_area(spark, args.region_areas)
         names = DetectParams.__dataclass_fields__
         detect(store, DetectParams(**{k: v for k, v in vars(args).items() if k in names}), args.pct, args.measure)
     elif args.job == "append":

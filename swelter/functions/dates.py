@@ -18,9 +18,12 @@ DATE_FORMATS = (
     "yyyy-M-d'T'H:m:s",
     "M/d/yyyy H:m:s",
     "M/d/yyyy H:m",
+    "M/d/yyyy h:m:s a",
+    "M/d/yyyy h:m a",
     "yyyyMMdd",
     "yyyy/M/d",
     "M-d-yyyy",
+    "M.d.yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "MMM d yyyy",
@@ -29,6 +32,10 @@ DATE_FORMATS = (
     "d MMMM yyyy",
 )
 
+# Tried last: years of two digits, 69 to 99 in the 20th century as in POSIX.
+SHORT_YEAR_FORMATS = ("M/d/yy", "M/d/yy H:m:s", "M/d/yy H:m", "M/d/yy h:m:s a", "M/d/yy h:m a", "M-d-yy")
+FIRST_SHORT_YEAR = 1969
+
 # Fixed value: eight-digit dates of the 20th and 21st century, not inside a longer number.
 DATE_TOKEN = r"(?<!\d)(19\d{6}|20\d{6})(?!\d)"
 
@@ -42,10 +49,18 @@ def strip(text: Column) -> Column:
 
 
 def parse_date_safe(text: Column) -> Column:
-    """Timestamp without zone, or NULL when the text is blank or no known date."""
+    """Timestamp without zone, or NULL when the text is blank or no known date.
+
+    Fractions of a second and the zone behind a time are cut off: the clock time counts.
+    """
     clean = strip(text)
-    attempts = [F.try_to_timestamp(clean, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
-    return F.when(~F.lower(clean).isin(*BLANK_DATES), F.coalesce(*attempts))
+    plain = F.regexp_replace(clean, r"(\d:\d\d)(\.\d+)?\s*(Z|UTC|[+-]\d\d:?\d\d)?$", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)\s*a\.?m\.?$", " AM"), r"(?i)\s*p\.?m\.?$", " PM")
+    parse = lambda fmt: F.try_to_timestamp(plain, F.lit(fmt)).cast("timestamp_ntz")
+    short = F.coalesce(*map(parse, SHORT_YEAR_FORMATS))
+    early = F.year(short) >= FIRST_SHORT_YEAR + 100
+    short = F.when(early, short - F.make_ym_interval(F.lit(100))).otherwise(short)
+    return F.when(~F.lower(clean).isin(*BLANK_DATES), F.coalesce(*map(parse, DATE_FORMATS), short))
 
 
 def to_yyyymmdd(d: Column) -> Column:

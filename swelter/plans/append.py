@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from swelter.functions.dates import admit_parts, length_of_stay
 from swelter.operators import exposure, quantiles, zips
 from swelter.operators.grid import same_axis
-from swelter.params import LONG_WINDOWS, PRIOR_WINDOWS, GridShape, check_percentile
-from swelter.session import cut_lineage
+from swelter.params import LONG_WINDOWS, MAX_BACK_DAYS, PRIOR_WINDOWS, GridShape, check_percentile, percentile_tag
+from swelter.plans.detect import manifest_name
+from swelter.session import cut_lineage, temporary_steps
 from swelter.sources import tables
 from swelter.sources.store import Store
 
 TAGS = ("T", "HI")
-HELPERS = ("zip", "admit_ts", "discharge_ts", "admit", "row_id", "pct")
 
 
 def output_columns() -> list[str]:
@@ -94,7 +94,10 @@ def append_exposure(
     extreme = {f"zcta_EXCD_{t}_admit": f"extreme_excd_{t}_admit" for t in TAGS}
     # the quantiles read the values twice, so they are computed from stored rows
     out = quantiles.with_quantile_features(cut_lineage(out), ["pct"], extreme, {**admit, **week})
-    given = [c for c in patients.columns if c not in HELPERS]
+    given = [c for c in patients.columns if c not in tables.HELPERS]
+    clash = {c.lower() for c in given} & {c.lower() for c in output_columns()}
+    if clash:
+        raise ValueError(f"the admission table already has columns {sorted(clash)}")
     return out.select("row_id", "pct", *given, *output_columns())
 
 
@@ -104,14 +107,25 @@ def append(
 ) -> None:
     """Read admissions and centroids, write ``exposure`` and one CSV folder per percentile."""
     spark = store.spark
-    patients = cut_lineage(tables.read_patients(spark, patients_path))
-    out = append_exposure(
-        patients, tables.read_zip_centroids(spark, zip_path), store.read("hw_day"),
-        store.read("mag").where("measure = 'hi'"), store.read("excd").where("measure = 't'"), store.axes(),
-        store.shape(), pcts, buffer,
-    )
-    store.write("exposure", out)
+    pcts = [check_percentile(p) for p in pcts]
+    absent = [f"{m} {percentile_tag(p)}" for p in pcts for m in ("t", "hi") if store.load_manifest(manifest_name(m, p)) is None]
+    if absent:
+        raise ValueError(f"nothing detected for {absent}; run detect with these percentiles first")
+    with temporary_steps(spark):
+        patients = cut_lineage(tables.read_patients(spark, patients_path))
+        centroids = cut_lineage(tables.read_zip_centroids(spark, zip_path))
+        span = patients.agg(F.min("admit"), F.max("admit")).first()
+        # only the folders of the wanted percentiles, and the years an admission looks back on
+        wanted = F.col("pct").isin(*pcts)
+        years = F.col("year").between(F.year(F.date_sub(F.lit(span[0]), MAX_BACK_DAYS + 1)), F.year(F.lit(span[1])))
+        mag = store.read("mag").where(wanted & years & (F.col("measure") == "hi"))
+        excd = store.read("excd").where(wanted & years & (F.col("measure") == "t"))
+        out = append_exposure(
+            patients, centroids, store.read("hw_day").where(wanted), mag, excd, store.axes(), store.shape(), pcts, buffer,
+        )
+        store.write("exposure", out)
     if csv:
         for pct in pcts:
-            one = store.read("exposure").where(F.col("pct") == float(pct))
-            tables.write_csv(one.orderBy("row_id").drop("row_id", "pct"), store.path(f"csv/exposure_{pct:g}"))
+            one = store.read("exposure").where(F.col("pct") == pct).orderBy("row_id").drop("row_id", "pct")
+            # names may repeat up to case in a file, so they are restored all at once
+            tables.write_csv(one.toDF(*[tables.given_name(c) for c in one.columns]), store.path(f"csv/exposure_{percentile_tag(pct)}"))

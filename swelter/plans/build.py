@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.functions.dates import in_season
+from swelter.functions.dates import in_season, parse_date_safe
+from swelter.functions.text import find_column
 from swelter.operators.climatology import (
     derive_cell_day,
     exceedance_against,
@@ -17,93 +18,166 @@ from swelter.operators.climatology import (
 )
 from swelter.operators.grid import affine_axis
 from swelter.params import SEASON_MONTHS, check_percentile
-from swelter.session import cut_lineage
+from swelter.session import cut_lineage, temporary_steps
 from swelter.sources import rasters
 from swelter.sources.store import Store
+from swelter.sources.tables import read_csv_text
 
 CELLS = ["d", "r", "c", "hi", "t2"]
+DATE_NAMES = ("d", "date", "day", "time")
 
 
-def _new_days(store: Store, df: DataFrame) -> DataFrame:
-    """Rows of season days the store does not hold yet."""
-    df = df.where(in_season(F.col("d"), SEASON_MONTHS))
-    if not store.exists("cell_day"):
-        return df
-    return df.join(store.read("cell_day").select("d").distinct(), "d", "left_anti")
+def add_cells(store: Store, df: DataFrame) -> None:
+    """Store the season cells of ``df`` that are not stored yet.
 
+    Cells, not days, are compared, so the second file of a day adds its cells, and a batch
+    that comes again adds none. Only the months of the new cells are read.
+    """
+    new = cut_lineage(df.where(in_season(F.col("d"), SEASON_MONTHS)).select(*CELLS).dropDuplicates(["d", "r", "c"]))
+    add_days(store, new.select("d"))
+    if store.exists("cell_day"):
+        held = _of_months(store.read("cell_day"), _months(new))
+        new = new.join(held.select("d", "r", "c"), ["d", "r", "c"], "left_anti")
+    store.append("cell_day", new)
 
-def ingest_rasters(store: Store, t_path: str, td_path: str, glob: str = "*.zip") -> DataFrame:
-    """Add days from temperature and dew point rasters; returns the files that failed."""
-    spark = store.spark
-    t, td = rasters.read_rasters(spark, t_path, glob), rasters.read_rasters(spark, td_path, glob)
-    if not store.exists("axis_row"):
-        sample = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(t_path).select("path").first()[0]
-        rows, cols = rasters.header_axes(rasters.sample_header(spark, sample))
-        store.write_axes(affine_axis(spark, *rows), affine_axis(spark, *cols))
-    store.append("cell_day", derive_cell_day(_new_days(store, rasters.paired_cells(t, td))))
-    return rasters.failures(t).unionByName(rasters.failures(td))
 
+def _months(df: DataFrame) -> list[int]:
+    """Year and month of the days in ``df`` as one number; bounded by the calendar."""
+    return [x.k for x in df.select((F.year("d") * 100 + F.month("d")).alias("k")).distinct().collect()]
+
+
+def _of_months(df: DataFrame, months: Sequence[int]) -> DataFrame:
+    """Only the folders of these months."""
+    return df.where((F.col("year") * 100 + F.col("month")).isin(*months))
+
+
+def add_days(store: Store, days: DataFrame) -> None:
+    """Days that count as observed, whether or not a cell of theirs could be read."""
+    days = season_calendar(days.where("d is not null"))
+    if store.exists("calendar"):
+        days = missing_days(days, store.read("calendar"))
+    days = cut_lineage(days)
+    if not days.isEmpty():
+        store.append("calendar", days)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """Wanted days from a CSV or Parquet table with a date column."""
+    raw = spark.read.parquet(path) if path.rstrip("/").endswith("parquet") else read_csv_text(spark, path)
+    name = find_column(raw.columns, DATE_NAMES)
+    if name is None:
+        raise ValueError(f"no date column among {raw.columns}")
+    return raw.select(parse_date_safe(F.col(f"`{name}`").cast("string")).cast("date").alias("d")).where("d is not null")
 
-def ingest_cache(store: Store, path: str, glob: str = "HI_*.npz") -> DataFrame:
-    """Add days from daily caches of an earlier installation; returns the files that failed."""
-    cells = rasters.read_daily_cache(store.spark, path, store.tvar, glob)
-    good = rasters.good_cells(cells).where("hi is not null or t2 is not null")
-    store.append("cell_day", _new_days(store, good))
-    return rasters.failures(cells)
 
+def _note_failures(store: Store, failed: DataFrame) -> DataFrame:
+    store.write("failed_files", failed)
+    return store.read("failed_files")
 
-def _absent(store: Store, name: str, measure: str, pct: float) -> bool:
-    if not store.exists(name):
-        return True
-    return store.read(name).where((F.col("measure") == measure) & (F.col("pct") == pct)).isEmpty()
 
+def ingest_axes(store: Store, path: str, glob: str = "*.zip") -> None:
+    """Axes from the header of a raster: for a store that is filled from caches alone."""
+    rows, cols = rasters.header_axes(rasters.sample_header(store.spark, path, glob))
+    store.write_axes(affine_axis(store.spark, *rows), affine_axis(store.spark, *cols))
 
-def build(store: Store, pcts: Sequence[float] = (80, 90, 95), measures: Sequence[str] = ("hi", "t")) -> None:
-    """Thresholds that do not exist yet, then exceedances of all days that have none.
+
+def ingest_rasters(store: Store, t_path: str, td_path: str, glob: str = "*.zip") -> DataFrame:
+    """Add days from temperature and dew point rasters; returns the files that failed.
+
+    A day whose file cannot be read stays in the calendar without cells.
+    """
+    spark = store.spark
+    with temporary_steps(spark):
+        if not store.exists("axis_row"):
+            ingest_axes(store, t_path, glob)
+        # decoded once: cells and failures come from the same pass
+        t, td = (cut_lineage(rasters.read_rasters(spark, p, glob)) for p in (t_path, td_path))
+        add_days(store, t.select(rasters.path_day().alias("d")))
+        add_cells(store, derive_cell_day(rasters.paired_cells(t, td)))
+        return _note_failures(store, rasters.failures(t).unionByName(rasters.failures(td)))
+
+
+def ingest_cache(store: Store, path: str, glob: str = "HI_*.npz") -> DataFrame:
+    """Add days from daily caches of an earlier installation; returns the files that failed."""
+    with temporary_steps(store.spark):
+        cells = cut_lineage(rasters.read_daily_cache(store.spark, path, store.tvar, glob))
+        add_days(store, cells.select(rasters.path_day().alias("d")))
+        add_cells(store, rasters.good_cells(cells).where("hi is not null or t2 is not null"))
+        return _note_failures(store, rasters.failures(cells))
+
+
+def add_thresholds(store: Store, cells: DataFrame, pcts: Sequence[float], measures: Sequence[str]) -> None:
+    """Thresholds of the months that have none yet; those that exist stay as they are."""
+    months = [x.m for x in cells.select(F.month("d").alias("m")).distinct().collect()]
+    wanted = {(m, p, k) for m in measures for p in pcts for k in months}
+    if store.exists("threshold"):
+        held = store.read("threshold").select("measure", "pct", "month").distinct().collect()
+        wanted -= {(x.measure, x.pct, x.month) for x in held}
+    if not wanted:
+        return
+    lacking = F.lit(False)
+    for m, p, k in sorted(wanted):
+        lacking = lacking | ((F.col("measure") == m) & (F.col("pct") == p) & (F.col("month") == k))
+    ms, ps, ks = (sorted({w[i] for w in wanted}) for i in range(3))
+    store.write("threshold", monthly_threshold(cells, ps, ms, tuple(ks)).where(lacking))
+
+
+def build(
+    store: Store, pcts: Sequence[float] = (80, 90, 95), measures: Sequence[str] = ("hi", "t"), days: DataFrame | None = None
+) -> None:
+    """Thresholds of months that have none, then exceedances of all days that lack them or have new cells.
 
     Existing thresholds are kept, so a day added later is compared with the climatology that
-    the earlier days were compared with. Delete the threshold folder to recompute it.
+    the earlier days were compared with. Delete the threshold folder to recompute it. ``days``
+    adds wanted days (column ``d``) to the calendar: a day without cells is a day without
+    exceedance, not a gap that its neighbours close.
     """
     pcts = [check_percentile(p) for p in pcts]
-    cells = store.read("cell_day").select(*CELLS)
-    todo = {m: tuple(p for p in pcts if _absent(store, "threshold", m, p)) for m in measures}
-    for fresh in sorted({ps for ps in todo.values() if ps}):  # measures that lack the same ones share a pass
-        store.write("threshold", monthly_threshold(cells, fresh, [m for m in measures if todo[m] == fresh]))
-
-    series = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(p).alias("pct")) for m in measures for p in pcts])
-    )
-    wanted = season_calendar(cells).select("d", series.alias("s")).select("s.*", "d")
-    if store.exists("mag_calendar"):
-        wanted = missing_days(wanted, store.read("mag_calendar"), ("measure", "pct", "d"))
-    wanted = wanted.persist()
-    try:
+    with temporary_steps(store.spark):
+        if days is not None:
+            add_days(store, days)
+        cells = store.read("cell_day")
+        held = cut_lineage(cells.where(in_season(F.col("d"), SEASON_MONTHS)).groupBy("d").agg(F.count("*").alias("n_cells")))
+        add_days(store, held)
+        add_thresholds(store, cells, pcts, measures)
+
+        series = F.explode(
+            F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(p).alias("pct")) for m in measures for p in pcts])
+        )
+        calendar = store.read("calendar").join(held, "d", "left").na.fill(0, ["n_cells"])
+        wanted = calendar.select("d", "n_cells", series.alias("s")).select("s.*", "d", "n_cells")
+        if store.exists("mag_calendar"):
+            wanted = missing_days(wanted, store.read("mag_calendar"), ("measure", "pct", "d", "n_cells"))
+        wanted = cut_lineage(wanted)
         if wanted.isEmpty():
             return
-        days = wanted.select("d").distinct()
-        thr = store.read("threshold").where(F.col("measure").isin(*measures) & F.col("pct").isin(*pcts))
-        mag = exceedance_against(cells.join(days, "d", "left_semi"), thr)
-        mag = mag.join(wanted, ["measure", "pct", "d"], "left_semi")
+        months = _months(wanted.where("n_cells > 0"))
+        thr = store.read("threshold").where(
+            F.col("measure").isin(*measures) & F.col("pct").isin(*pcts) & F.col("month").isin(*{m % 100 for m in months})
+        )
+        todo = cut_lineage(wanted.select("d").distinct())
+        touched = _of_months(cells, months).select(*CELLS).join(todo, "d", "left_semi")
+        mag = exceedance_against(touched, thr).join(wanted, ["measure", "pct", "d"], "left_semi")
         # the calendar is written last: a run that dies before leaves the days marked as missing
         if store.exists("mag_calendar"):
-            _replace_days(store, mag)
+            _replace_days(store, mag, wanted)
         else:
             store.write("mag", mag)
-        store.append("mag_calendar", wanted)
-    finally:
-        wanted.unpersist()
+            store.write("mag_calendar", wanted)
 
 
-def _replace_days(store: Store, mag: DataFrame) -> None:
-    """Add days to existing month folders. Leftovers of an interrupted run are taken out by
-    rewriting the touched folders from finished days plus the new ones."""
-    done = store.read("mag_calendar").select("measure", "pct", "d")
+def _replace_days(store: Store, mag: DataFrame, wanted: DataFrame) -> None:
+    """Put whole days into existing month folders: finished other days of the folder stay, the
+    rows that these days had (or that an interrupted run left) go."""
+    keys = ["measure", "pct", "d"]
+    done = cut_lineage(store.read("mag_calendar").join(wanted.select(*keys), keys, "left_anti"))
     parts = ["measure", "pct", "year", "month"]
     new = mag.withColumn("year", F.year("d")).withColumn("month", F.month("d"))
-    touched = new.select(*parts).distinct()
-    kept = (
-        store.read("mag")
-        .join(touched, parts, "left_semi")
-        .join(done, ["measure", "pct", "d"], "left_semi")
-    )
-    store.write("mag", cut_lineage(kept.select(*new.columns).unionByName(new)))
+    old = _of_months(store.read("mag"), _months(wanted)).join(done.select(*keys), keys, "left_semi")
+    touched = wanted.select("measure", "pct", F.year("d").alias("year"), F.month("d").alias("month")).distinct()
+    kept = old.join(touched, parts, "left_semi")
+    out = cut_lineage(kept.select(*new.columns).unionByName(new))
+    for x in touched.collect():  # folders that lose their last row; one per series and month
+        store.drop_partition("mag", f"measure={x.measure}/pct={x.pct}/year={x.year}/month={x.month}")
+    store.write("mag", out)
+    store.write("mag_calendar", cut_lineage(done.select(*wanted.columns).unionByName(wanted)))

@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swelter.functions.dates import in_season
+from swelter.functions.text import find_column
 from swelter.operators.events import event_summary, number_days, persistent_days, track
 from swelter.operators.hulls import restrict_to_runs, union_runs
 from swelter.operators.segments import keep_days, segment_days
-from swelter.params import DAY_KEYS, SERIES_KEYS, DetectParams, check_percentile
-from swelter.session import cut_lineage
+from swelter.params import DAY_KEYS, SERIES_KEYS, DetectParams, check_percentile, percentile_tag
+from swelter.session import cut_lineage, temporary_steps
 from swelter.sources.store import Store
-from swelter.sources.tables import write_csv
+from swelter.sources.tables import read_csv_text, write_csv
 
+AREA_NAMES = ("area_km2", "area", "region_area_km2")
 HW_DAY_FLOATS = ("hsci", "area_km2", "prop_hw", "min_pair_km", "mean_pair_km", "d_mean_pair_km")
 
 
@@ -46,28 +48,60 @@ def detect_frames(
     }
 
 
+def region_area(spark: SparkSession, path: str) -> float:
+    """Sum of the area column of a CSV or Parquet table, in square kilometres."""
+    raw = spark.read.parquet(path) if path.rstrip("/").endswith("parquet") else read_csv_text(spark, path)
+    name = find_column(raw.columns, AREA_NAMES)
+    if name is None:
+        raise ValueError(f"no area column among {raw.columns}")
+    total = raw.agg(F.sum(F.expr(f"try_cast(`{name}` AS DOUBLE)"))).first()[0]
+    if not total or total <= 0:
+        raise ValueError(f"the areas in {path} do not add up to a region")
+    return total
+
+
+def _content(store: Store, measure: str, pct: float) -> list[str]:
+    """A digest of calendar and exceedances of one series: other rows give another one."""
+    mine = (F.col("measure") == measure) & (F.col("pct") == pct)
+    digest = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    days = store.read("mag_calendar").where(mine).agg(F.count("*"), digest("d", "n_cells"))
+    cells = store.read("mag").where(mine).agg(F.count("*"), digest("d", "r", "c", "mag"))
+    return [str(v) for v in (*days.first(), *cells.first())]
+
+
+def manifest_name(measure: str, pct: float) -> str:
+    return f"detect_{measure}_{percentile_tag(pct)}"
+
+
 def detect(
     store: Store, params: DetectParams, pcts: Sequence[float] = (80, 90, 95), measures: Sequence[str] = ("t", "hi")
 ) -> bool:
-    """Run the detector unless the stored result was made from the same days and parameters."""
-    pcts = [check_percentile(p) for p in pcts]
-    wanted = F.col("measure").isin(*measures) & F.col("pct").isin(*pcts)
-    calendar = store.read("mag_calendar").where(wanted)
-    span = calendar.agg(F.count("*"), F.min("d"), F.max("d")).first()
-    made_with = {**asdict(params), "pcts": pcts, "measures": list(measures), "days": [str(v) for v in span]}
-    if store.is_current("detect", made_with):
-        return False
-    out = detect_frames(
-        store.read("mag").where(wanted).select(*DAY_KEYS, "r", "c", "mag"), calendar, *store.axes(), store.shape(), params
-    )
-    for name in ("hw_day", "cluster_event", "excd"):
-        store.write(name, out[name])
-    for measure in measures:
-        for pct in pcts:
+    """Run the detector for the series whose stored result comes from other rows or parameters.
+
+    A result replaces everything its series had, also when nothing is left of it.
+    """
+    series = [(m, check_percentile(p)) for m in measures for p in pcts]
+    with temporary_steps(store.spark):
+        made_with = {s: {**asdict(params), "rows": _content(store, *s)} for s in series}
+        stale = [s for s in series if not store.is_current(manifest_name(*s), made_with[s])]
+        if not stale:
+            return False
+        wanted = F.lit(False)
+        for m, p in stale:
+            wanted = wanted | ((F.col("measure") == m) & (F.col("pct") == p))
+            store.drop_manifest(manifest_name(m, p))
+        calendar = store.read("mag_calendar").where(wanted)
+        mag = store.read("mag").where(wanted).select(*DAY_KEYS, "r", "c", "mag")
+        out = detect_frames(mag, calendar, *store.axes(), store.shape(), params)
+        for measure in sorted({m for m, _ in stale}):
+            own = [p for m, p in stale if m == measure]
+            for name in ("hw_day", "cluster_event", "event_summary", "excd"):
+                store.replace_series(name, out[name].where(F.col("measure") == measure), [measure], own)
+        for measure, pct in stale:
             mine = (F.col("measure") == measure) & (F.col("pct") == pct)
-            clusters = out["cluster_event"].where(mine).select("pos", "cluster_idx", "event_id", "event_id_resolved", "d")
-            folder = store.path(f"csv/{measure}_{pct:g}")
+            clusters = store.read("cluster_event").where(mine).select("pos", "cluster_idx", "event_id", "event_id_resolved", "d")
+            folder = store.path(f"csv/{measure}_{percentile_tag(pct)}")
             write_csv(clusters, f"{folder}/clusters", ["pos", "cluster_idx"])
-            write_csv(out["event_summary"].where(mine).drop(*SERIES_KEYS), f"{folder}/events", ["event_id"])
-    store.save_manifest("detect", made_with)
+            write_csv(store.read("event_summary").where(mine).drop(*SERIES_KEYS), f"{folder}/events", ["event_id"])
+            store.save_manifest(manifest_name(measure, pct), made_with[measure, pct])
     return True

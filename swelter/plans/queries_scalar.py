@@ -174,16 +174,21 @@ def parse_dates_mixed(spark, sf):
     return o.select("o_orderkey", dates.parse_dates_mixed(number, words).alias("d"))
 
 
-@query("""select o_orderkey, case when o_orderkey%6 in (3,5) then null else cast(o_orderdate as date) end d from orders""")
+@query("""select o_orderkey, case when o_orderkey%11 in (3,5) then null else cast(o_orderdate as date) end d from orders""")
 def parse_date_safe(spark, sf):
     o = b.table(spark, sf, "orders")
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % 11
     raw = (
         F.when(kind == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
         .when(kind == 1, F.date_format("o_orderdate", "MM/dd/yyyy"))
         .when(kind == 2, F.concat(F.lit("  "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("\t")))
         .when(kind == 3, F.lit(" N/A "))
         .when(kind == 4, F.date_format("o_orderdate", "MMM d, yyyy"))
+        .when(kind == 6, F.date_format("o_orderdate", "M/d/yy"))
+        .when(kind == 7, F.concat(F.date_format("o_orderdate", "M/d/yyyy"), F.lit(" 5:30 PM")))
+        .when(kind == 8, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 05:30:00.5")))
+        .when(kind == 9, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T05:30:00Z")))
+        .when(kind == 10, F.date_format("o_orderdate", "MM.dd.yyyy"))
         .otherwise(F.concat(F.lit("on "), F.col("o_orderstatus")))
     )
     return o.select("o_orderkey", dates.parse_date_safe(raw).cast("date").alias("d"))

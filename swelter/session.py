@@ -5,10 +5,15 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that ``cut_lineage`` has written in this process.
+_STEPS: list[str] = []
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -44,6 +49,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system Spark can reach; nothing happens if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_steps(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``cut_lineage`` stores inside the block; for jobs whose results are written by then."""
+    kept = len(_STEPS)
+    try:
+        yield
+    finally:
+        while len(_STEPS) > kept:
+            delete_path(spark, _STEPS.pop())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` as a table in the checkpoint folder and read it back.
 
@@ -53,6 +75,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swelter.functions.dates import DATE_TOKEN
@@ -74,8 +74,15 @@ def decode_archive(body: bytes) -> np.ndarray:
     raise FileNotFoundError("no .bil or .tif raster in the archive")
 
 
-def decode_raster(path: str, body: bytes) -> np.ndarray:
-    return decode_archive(body) if path.lower().endswith(".zip") else decode_geotiff(body)
+def decode_raster(path: str, body: bytes, header: bytes | None = None) -> np.ndarray:
+    """A zip archive, a loose ``.bil`` with the header that lies beside it, or a GeoTIFF."""
+    if path.lower().endswith(".zip"):
+        return decode_archive(body)
+    if path.lower().endswith(".bil"):
+        if header is None:
+            raise FileNotFoundError("no .hdr beside the .bil")
+        return decode_bil(bil_header(header.decode("ascii", "ignore")), body)
+    return decode_geotiff(body)
 
 
 def decode_cache(path: str, body: bytes, tvar: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,16 +119,23 @@ def _blocks(path: str, day: date, arrays: dict[str, np.ndarray]) -> Iterator[pa.
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Path, content and, for loose .bil files, the content of the .hdr with the same name."""
     ship_package(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    load = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    files = load(glob).select("path", "content")
+    if not glob.lower().endswith(".bil"):
+        return files.withColumn("header", F.lit(None).cast("binary"))
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    headers = load(glob[:-4] + ".hdr").select(stem.alias("stem"), F.col("content").alias("header"))
+    return files.withColumn("stem", stem).join(headers, "stem", "left").select("path", "content", "header")
 
 
 def _decode(files: DataFrame, decoder, names: tuple[str, ...], ddl: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for path, body in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for path, body, header in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("header")):
                 try:
-                    yield from _blocks(path, day_of(path), dict(zip(names, decoder(path, body.as_py()))))
+                    yield from _blocks(path, day_of(path), dict(zip(names, decoder(path, body.as_py(), header.as_py()))))
                 except Exception as exc:  # noqa: BLE001  reported as a row
                     empty = {n: pa.nulls(1, pa.float32()) for n in names}
                     yield pa.RecordBatch.from_pydict(
@@ -136,12 +150,19 @@ def _decode(files: DataFrame, decoder, names: tuple[str, ...], ddl: str) -> Data
 
 def read_rasters(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """``(path, d, r, c, v, error)`` for every raster file; missing cells are NULL."""
-    return _decode(_files(spark, path, glob), lambda p, b: (decode_raster(p, b),), ("v",), RASTER_DDL)
+    return _decode(_files(spark, path, glob), lambda p, b, h: (decode_raster(p, b, h),), ("v",), RASTER_DDL)
 
 
 def read_daily_cache(spark: SparkSession, path: str, tvar: str, glob: str = "HI_*.npz") -> DataFrame:
     """``(path, d, r, c, hi, t2, error)`` from daily caches of an earlier installation."""
-    return _decode(_files(spark, path, glob), lambda p, b: decode_cache(p, b, tvar), ("hi", "t2"), CACHE_DDL)
+    return _decode(_files(spark, path, glob), lambda p, b, _: decode_cache(p, b, tvar), ("hi", "t2"), CACHE_DDL)
+
+
+def path_day() -> Column:
+    """Day in the name of the file, also of one that could not be read."""
+    name = F.regexp_extract(F.col("path"), "[^/]*$", 0)
+    token = F.element_at(F.regexp_extract_all(name, F.lit(DATE_TOKEN), F.lit(1)), -1)
+    return F.when(F.regexp_like(name, F.lit(DATE_TOKEN)), F.try_to_timestamp(token, F.lit("yyyyMMdd")).cast("date"))
 
 
 def good_cells(df: DataFrame) -> DataFrame:
@@ -166,9 +187,17 @@ def header_axes(header: dict[str, str]) -> tuple[tuple[int, float, float], tuple
     return rows, cols
 
 
-def sample_header(spark: SparkSession, path: str) -> dict[str, str]:
-    """Header of one sample archive; a single small file."""
-    body = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(bytes(body))) as z:
-        name = next(n for n in sorted(z.namelist()) if n.lower().endswith(".hdr"))
-        return bil_header(z.read(name).decode("ascii", "ignore"))
+def sample_header(spark: SparkSession, folder: str, glob: str) -> dict[str, str]:
+    """Header of the first raster in name order that has one; files are small and tried one by one."""
+    files = _files(spark, folder, glob)
+    for row in files.select("path").orderBy("path").toLocalIterator():
+        found = files.where(F.col("path") == row.path).first()
+        if found.header is not None:
+            return bil_header(bytes(found.header).decode("ascii", "ignore"))
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(found.content))) as z:
+                name = next(n for n in sorted(z.namelist()) if n.lower().endswith(".hdr"))
+                return bil_header(z.read(name).decode("ascii", "ignore"))
+        except (zipfile.BadZipFile, StopIteration):
+            continue
+    raise ValueError(f"no raster with a header in {folder}")

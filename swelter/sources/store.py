@@ -7,12 +7,16 @@ of one variable can never be applied to another.
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swelter.params import GridShape
+from swelter.session import cut_lineage, delete_path
 from swelter.sources.tables import rebalanced, write_partitioned
 
 PARTITIONS = {
@@ -20,9 +24,12 @@ PARTITIONS = {
     "threshold": ["measure", "pct", "month"],
     "mag": ["measure", "pct", "year", "month"],
     "mag_calendar": ["measure", "pct"],
+    "calendar": [],
+    "failed_files": [],
     "hw_day": ["measure", "pct"],
     "excd": ["measure", "pct", "year"],
     "cluster_event": ["measure", "pct"],
+    "event_summary": ["measure", "pct"],
     "exposure": ["pct"],
 }
 SORT = {"cell_day": ["d", "r", "c"], "mag": ["r", "c", "d"], "threshold": ["r", "c"], "excd": ["r", "c", "d"]}
@@ -44,25 +51,53 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/tvar={self.tvar}/{name}"
 
+    def _fs(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, target = self._fs(self.path(name))
         return fs.exists(target)
 
     def read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
+        """A table as it was written; one that lost its last partition is empty, not unreadable."""
+        found = self.load_manifest(f"schema_{name}")
+        reader = self.spark.read.schema(T.StructType.fromJson(found)) if found else self.spark.read
+        df = reader.parquet(self.path(name))
         # partition values are read back as whole numbers when they look like it
         return df.withColumn("pct", F.col("pct").cast("double")) if "pct" in df.columns else df
 
+    def _note_schema(self, name: str, df: DataFrame) -> None:
+        parts = PARTITIONS[name]
+        fields = [f for f in df.schema if f.name not in parts] + [df.schema[p] for p in parts]
+        wanted = json.loads(T.StructType([T.StructField(f.name, f.dataType) for f in fields]).json())
+        if self.load_manifest(f"schema_{name}") != wanted:
+            self.save_manifest(f"schema_{name}", wanted)
+
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace the partitions that ``df`` contains."""
-        write_partitioned(_with_parts(df, PARTITIONS[name]), self.path(name), PARTITIONS[name], SORT.get(name, ()))
+        """Replace the partitions that ``df`` contains; the whole table where it has none."""
+        df = _with_parts(df, PARTITIONS[name])
+        self._note_schema(name, df)
+        write_partitioned(df, self.path(name), PARTITIONS[name], SORT.get(name, ()))
+
+    def replace_series(self, name: str, df: DataFrame, measures: Sequence[str], pcts: Sequence[float]) -> None:
+        """Replace all rows of these measures and percentiles, also by none."""
+        df = cut_lineage(_with_parts(df, PARTITIONS[name]))
+        for measure in measures:
+            for pct in pcts:
+                delete_path(self.spark, f"{self.path(name)}/measure={measure}/pct={float(pct)}")
+        self.write(name, df)
+
+    def drop_partition(self, name: str, partition: str) -> None:
+        delete_path(self.spark, f"{self.path(name)}/{partition}")
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Add rows of days that are not there yet."""
+        """Add rows that are not there yet."""
         by = PARTITIONS[name]
-        rebalanced(_with_parts(df, by), by, SORT.get(name, ())).write.mode("append").partitionBy(*by).parquet(self.path(name))
+        df = _with_parts(df, by)
+        self._note_schema(name, df)
+        out = rebalanced(df, by, SORT.get(name, ())) if by else df.coalesce(1)
+        out.write.mode("append").partitionBy(*by).parquet(self.path(name))
 
     def write_axes(self, rows: DataFrame, cols: DataFrame) -> None:
         for name, axis in (("axis_row", rows), ("axis_col", cols)):
@@ -80,19 +115,33 @@ class Store:
     def _manifest(self, name: str) -> str:
         return self.path(f"_manifest/{name}")
 
+    def _versions(self, name: str) -> list[str]:
+        """Folders of a manifest, the newest first."""
+        fs, target = self._fs(self._manifest(name))
+        return sorted((str(x.getPath()) for x in fs.listStatus(target)), reverse=True) if fs.exists(target) else []
+
     def save_manifest(self, name: str, params: dict) -> None:
+        """A new version beside the old one, which goes only when the new one is complete."""
+        old = self._versions(name)
         text = json.dumps(params, sort_keys=True, default=str)
         rows = self.spark.createDataFrame([(text,)], "value string")
-        rows.coalesce(1).write.mode("overwrite").text(self._manifest(name))
+        rows.coalesce(1).write.text(f"{self._manifest(name)}/{time.time_ns():020d}")
+        for path in old:
+            delete_path(self.spark, path)
 
     def load_manifest(self, name: str) -> dict | None:
         """Parameters of the stored product, or None when there are none or they are unreadable."""
-        if not self.exists(f"_manifest/{name}/_SUCCESS"):
-            return None
-        try:
-            return json.loads(self.spark.read.text(self._manifest(name)).first()[0])
-        except (TypeError, ValueError, IndexError):
-            return None
+        for path in self._versions(name):
+            fs, done = self._fs(f"{path}/_SUCCESS")
+            if fs.exists(done):
+                try:
+                    return json.loads(self.spark.read.text(path).first()[0])
+                except (TypeError, ValueError, IndexError):
+                    return None
+        return None
+
+    def drop_manifest(self, name: str) -> None:
+        delete_path(self.spark, self._manifest(name))
 
     def is_current(self, name: str, params: dict) -> bool:
         return self.load_manifest(name) == json.loads(json.dumps(params, default=str))

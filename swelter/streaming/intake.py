@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from swelter.plans.build import CELLS, _new_days, build
+from swelter.plans.build import CELLS, add_cells, build
+from swelter.session import temporary_steps
 from swelter.sources.store import Store
 
 DAY_FILE_DDL = "d date, r int, c int, hi float, t2 float"
@@ -20,20 +21,28 @@ DAY_FILE_DDL = "d date, r int, c int, hi float, t2 float"
 def watch_cell_days(
     store: Store, path: str, checkpoint: str, pcts: Sequence[float] = (80, 90, 95), max_files: int | None = None
 ) -> StreamingQuery:
-    """Take all Parquet day files now in ``path`` and stop. Days already stored are ignored, so a
-    batch that is replayed after a failure changes nothing."""
+    """Take all Parquet day files now in ``path``, then build once, and return the ended stream.
+
+    Cells already stored are ignored, so a batch that is replayed after a failure changes
+    nothing, and a day may be spread over files and batches: the size of a batch does not
+    change the result.
+    """
     reader = store.spark.readStream.schema(DAY_FILE_DDL)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def take(batch: DataFrame, _epoch: int) -> None:
-        store.append("cell_day", _new_days(store, batch.select(*CELLS)))
-        build(store, pcts)
+        with temporary_steps(store.spark):
+            add_cells(store, batch.select(*CELLS))
 
-    return (
+    stream = (
         reader.parquet(path)
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    stream.awaitTermination()
+    if store.exists("cell_day"):
+        build(store, pcts)
+    return stream

@@ -65,6 +65,9 @@ def test_rounding_is_half_up(spark):
     [
         ("2023-07-05", dt.date(2023, 7, 5)), (" 7/5/2023 ", dt.date(2023, 7, 5)), ("07/05/2023", dt.date(2023, 7, 5)),
         ("20230705", dt.date(2023, 7, 5)), ("Jul 5, 2023", dt.date(2023, 7, 5)), ("2023-07-05 13:30", dt.date(2023, 7, 5)),
+        ("7/12/20", dt.date(2020, 7, 12)), ("7/12/85", dt.date(1985, 7, 12)), ("7/12/2020 5:30 PM", dt.date(2020, 7, 12)),
+        ("2020-07-12 05:30:00.5", dt.date(2020, 7, 12)), ("2020-07-12T05:30:00Z", dt.date(2020, 7, 12)),
+        ("2020-07-12T05:30:00.125+02:00", dt.date(2020, 7, 12)), ("12.07.2020", dt.date(2020, 12, 7)), ("7/12/20 5:30 pm", dt.date(2020, 7, 12)),
         ("NaN", None), ("n/a", None), ("", None), ("2023-13-40", None), ("soon", None), (None, None),
     ],
 )
@@ -73,6 +76,12 @@ def test_parse_date_safe(spark, raw, want):
     assert df.select(dates.parse_date_safe(F.col("s")).cast("date").alias("d")).first().d == want
 
 
+def test_clock_times_are_kept(spark):
+    rows = [("7/12/2020 5:30 PM", dt.datetime(2020, 7, 12, 17, 30)), ("2020-07-12T05:30:00.5Z", dt.datetime(2020, 7, 12, 5, 30))]
+    df = spark.createDataFrame([(r,) for r, _ in rows], "s string").select(dates.parse_date_safe(F.col("s")).alias("t"))
+    assert [x.t for x in df.collect()] == [t for _, t in rows]
+
+
 def test_dates_from_strings_skip_longer_numbers(spark):
     rows = [(1, "a_20230705.bil 20230706"), (2, "120230707"), (3, "20231340"), (4, "x20230705"), (5, "18991231")]
     got = dates.dates_from_strings(spark.createDataFrame(rows, "i int, s string"), "s", "i").orderBy("d").collect()

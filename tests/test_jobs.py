@@ -87,9 +87,9 @@ def test_intake_of_rasters_and_caches(store):
 def test_build_resumes_with_new_days(store, spark):
     build(store, [80])
     first = store.read("mag").count()
-    assert first > 0 and store.read("mag_calendar").count() == 120
+    assert first > 0 and store.read("mag_calendar").count() == 126
     build(store, [80])
-    assert store.read("mag").count() == first and store.read("mag_calendar").count() == 120
+    assert store.read("mag").count() == first and store.read("mag_calendar").count() == 126
     inbox = f"{store.root}/inbox"
     rows = [(d, r, c, float(weather(i)[r, c] + 1), float(weather(i)[r, c])) for i, d in list(enumerate(DAYS))[60:] for r in range(NY) for c in range(NX)]
     spark.createDataFrame(rows, "d date, r int, c int, hi float, t2 float").write.parquet(inbox)
@@ -98,7 +98,7 @@ def test_build_resumes_with_new_days(store, spark):
         q.awaitTermination(300)
         assert q.exception() is None
         assert store.read("cell_day").select("d").distinct().count() == 80
-        assert store.read("mag_calendar").count() == 160
+        assert store.read("mag_calendar").count() == 166
     mag = store.read("mag")
     assert mag.groupBy("measure", "pct", "d", "r", "c").count().where("count > 1").isEmpty()
     thr = store.read("threshold").where("measure = 't'")
@@ -121,7 +121,7 @@ def test_detect_products(store):
     assert 0 < inside.count() and inside.exceptAll(raw).isEmpty()
     assert inside.select("measure", "d").distinct().count() == hw.count()
     assert not detect(store, PARAMS, [80])  # same days and parameters
-    assert store.load_manifest("detect")["min_area_km2"] == 10
+    assert store.load_manifest("detect_t_80")["min_area_km2"] == 10
     csv = store.spark.read.csv(store.path("csv/t_80/events"), header=True)
     assert csv.columns == ["event_id", "duration_days", "distinct_days"]
 
@@ -176,7 +176,7 @@ def test_patient_table_needs_a_zip(spark):
 def test_manifest_that_cannot_be_read(store):
     store.save_manifest("broken", {"a": 1})
     assert store.is_current("broken", {"a": 1}) and not store.is_current("broken", {"a": 2})
-    store.spark.createDataFrame([("{cut off",)], "value string").write.mode("overwrite").text(store._manifest("broken"))
+    store.spark.createDataFrame([("{cut off",)], "value string").write.mode("overwrite").text(store._versions("broken")[0])
     assert store.load_manifest("broken") is None and store.load_manifest("absent") is None
 
 
@@ -201,3 +201,169 @@ def test_command_line(store, capsys):
     assert (args.region_area_km2, args.grace_days, args.pct, args.measure) == (5.0, 2, [80.0, 97.5], ["t", "hi"])
     cli.main(["inspect", store.path("threshold")])
     assert "thr float" in capsys.readouterr().out
+
+
+def cells_of(days, value=lambda i, r, c: 20.0 + (i * 7 + r + c) % 11, ny=4, nx=4):
+    return [(d, r, c, float(value(i, r, c) + 1), float(value(i, r, c))) for i, d in enumerate(days) for r in range(ny) for c in range(nx)]
+
+
+CELL_DDL = "d date, r int, c int, hi float, t2 float"
+
+
+def filled(spark, root, rows):
+    from swelter.plans.build import add_cells
+
+    store = Store(spark, str(root))
+    store.write_axes(affine_axis(spark, 4, 35.0, -0.01), affine_axis(spark, 4, -90.0, 0.01))
+    add_cells(store, spark.createDataFrame(rows, CELL_DDL))
+    return store
+
+
+def mags(store):
+    return sorted((x.measure, x.pct, x.d, x.r, x.c, x.mag) for x in store.read("mag").collect())
+
+
+MAY = [dt.date(2020, 5, 1) + dt.timedelta(days=k) for k in range(6)]
+JUNE = [dt.date(2020, 6, 1) + dt.timedelta(days=k) for k in range(6)]
+
+
+def test_two_builds_equal_one(spark, tmp_path):
+    """A month added later gets thresholds of its own."""
+    from swelter.plans.build import add_cells
+
+    rows = cells_of(MAY + JUNE)
+    whole = filled(spark, tmp_path / "one", rows)
+    build(whole, [80])
+    parts = filled(spark, tmp_path / "two", [x for x in rows if x[0] in MAY])
+    build(parts, [80])
+    add_cells(parts, spark.createDataFrame([x for x in rows if x[0] in JUNE], CELL_DDL))
+    build(parts, [80])
+    assert mags(parts) == mags(whole) and {x[2].month for x in mags(parts)} == {5, 6}
+
+
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_days_spread_over_files_and_batches(spark, tmp_path, files):
+    rows = cells_of(MAY)
+    whole = filled(spark, tmp_path / "one", rows)
+    build(whole, [80])
+    for k in range(4):  # every day lies in two files
+        part = [x for i, x in enumerate(rows) if i % 4 == k]
+        spark.createDataFrame(part, CELL_DDL).coalesce(1).write.mode("append").parquet(str(tmp_path / "inbox"))
+    store = Store(spark, str(tmp_path / "two"))
+    store.write_axes(affine_axis(spark, 4, 35.0, -0.01), affine_axis(spark, 4, -90.0, 0.01))
+    watch_cell_days(store, str(tmp_path / "inbox"), str(tmp_path / "ckpt"), [80], max_files=files)
+    assert store.read("cell_day").count() == len(rows) and mags(store) == mags(whole)
+
+
+def test_second_half_of_a_day_replaces_the_day(spark, tmp_path):
+    from swelter.plans.build import add_cells
+
+    rows = cells_of(MAY)
+    store = filled(spark, tmp_path, [x for x in rows if x[0] != MAY[2] or x[1] < 2])
+    build(store, [80])
+    thr = {(x.measure, x.r, x.c): x.thr for x in store.read("threshold").collect()}
+    add_cells(store, spark.createDataFrame(rows, CELL_DDL))
+    for _ in range(2):
+        build(store, [80])
+        assert store.read("cell_day").count() == len(rows) and store.read("mag_calendar").count() == 12
+        want = sorted((m, d, r, c) for d, r, c, hi, t in rows for m, v in (("hi", hi), ("t", t)) if v > thr[m, r, c])
+        assert [x[:1] + x[2:5] for x in mags(store)] == want
+
+
+def test_failed_day_stays_in_the_calendar(spark, tmp_path):
+    store = filled(spark, tmp_path, cells_of([d for d in MAY if d != MAY[2]]))
+    build(store, [80], days=spark.createDataFrame([(d,) for d in MAY], "d date"))
+    days = store.read("mag_calendar").where("measure = 't'").collect()
+    assert {x.d: x.n_cells for x in days} == {d: 0 if d == MAY[2] else 16 for d in MAY}
+
+
+def test_wanted_days_from_a_file(spark, tmp_path):
+    from swelter.plans.build import read_days
+
+    (tmp_path / "days.csv").write_text("Date,x\n2020-05-01,1\n5/2/2020,2\nnone,3\n")
+    assert sorted(x.d for x in read_days(spark, str(tmp_path / "days.csv")).collect()) == MAY[:2]
+
+
+def test_loose_rasters(spark, tmp_path):
+    for name in ("t", "td"):
+        (tmp_path / name).mkdir()
+        for i, d in enumerate(DAYS[:2]):
+            with zipfile.ZipFile(io.BytesIO(bil_zip(weather(i) - 5 * (name == "td")))) as z:
+                for end in ("bil", "hdr"):
+                    (tmp_path / name / f"x_{d:%Y%m%d}.{end}").write_bytes(z.read(f"a.{end}"))
+    (tmp_path / "t" / "x_20200620.bil").write_bytes(b"no header")
+    store = Store(spark, str(tmp_path / "p"))
+    failed = ingest_rasters(store, str(tmp_path / "t"), str(tmp_path / "td"), "*.bil").collect()
+    assert len(failed) == 1 and store.shape() == rasters_shape() and store.read("cell_day").count() == 2 * NY * NX
+    assert dt.date(2020, 6, 20) in {x.d for x in store.read("calendar").collect()}
+
+
+def rasters_shape():
+    from swelter.params import GridShape
+
+    return GridShape(NY, NX)
+
+
+def test_stricter_rerun_leaves_nothing_behind(store):
+    before = store.read("hw_day").count()
+    assert before > 0
+    strict = DetectParams(**{**PARAMS.__dict__, "hull_gate_km2": 1e9})
+    assert detect(store, strict, [80])
+    for name in ("hw_day", "excd", "cluster_event", "event_summary"):
+        assert store.read(name).count() == 0
+    assert detect(store, PARAMS, [80]) and store.read("hw_day").count() == before
+    assert not detect(store, PARAMS, [80])
+
+
+def test_changed_exceedances_are_detected_again(spark, tmp_path):
+    store = filled(spark, tmp_path, cells_of(MAY))
+    build(store, [80])
+    small = DetectParams(region_area_km2=16.0, pixel_size_km=1.0, min_area_km2=1, hull_gate_km2=1, min_hot_cells=1, min_duration=1, tile=14)
+    assert detect(store, small, [80]) and not detect(store, small, [80])
+    mag = store.read("mag")
+    from swelter.session import cut_lineage
+
+    store.write("mag", cut_lineage(mag.withColumn("mag", (mag.mag + 1).cast("float"))))
+    assert detect(store, small, [80])
+
+
+def test_percentile_that_was_never_detected(store, tmp_path):
+    (tmp_path / "p.csv").write_text("zip5,ADMIT_DATE,DISCHARGE_DATE\n00501,2020-07-12,\n")
+    (tmp_path / "z.csv").write_text("ZCTA,Latitude,Lng\n501,34.91,-89.88\n")
+    with pytest.raises(ValueError, match="95"):
+        append(store, str(tmp_path / "p.csv"), str(tmp_path / "z.csv"), [80, 95])
+
+
+def test_columns_and_quotes_of_the_file_survive(store, spark, tmp_path):
+    import csv
+
+    people = tmp_path / "p.csv"
+    rows = [
+        ["zip5", "ADMIT_DATE", "DISCHARGE_DATE", "ZIP", "pct", "row_id", "note"],
+        ["00501", "2020-07-12", "2020-07-13", "x1", "50", "7", 'said "hot" twice, left'],
+        ["00501", "7/12/20", "", "x2", "60", "7", "two\nlines"], ["00502", "2020-07-14", "", "", "", "", "a\\b"],
+    ]
+    with people.open("w", newline="") as f:
+        csv.writer(f).writerows(rows)
+    (tmp_path / "z.csv").write_text("ZCTA,Latitude,Lng\n501,34.91,-89.88\n")
+    append(store, str(people), str(tmp_path / "z.csv"), [80])
+    from pathlib import Path
+
+    parts = sorted(Path(store.path("csv/exposure_80")).glob("part-*.csv"))
+    got = [r for p in parts for k, r in enumerate(csv.reader(p.open(newline=""))) if k or p == parts[0]]
+    assert [r[:7] for r in got] == rows
+    assert got[0][7:] == output_columns()
+
+
+def test_rows_of_several_files_keep_their_order(spark, tmp_path):
+    for name, zips in (("b", ["3", "4"]), ("a", ["1", "2"])):
+        (tmp_path / f"{name}.csv").write_text("zip5,x\n" + "\n".join(f"{z},{'y' * 5000 if name == 'b' else ''}" for z in zips) + "\n")
+    df = tables.prepare_patients(tables.read_csv_text(spark, str(tmp_path)))
+    assert [x.zip for x in df.orderBy("row_id").collect()] == ["1", "2", "3", "4"]
+
+
+def test_region_area_is_a_sum(spark, tmp_path):
+    from swelter.plans.detect import region_area
+
+    (tmp_path / "a.csv").write_text("county,Area_km2\na,10.5\nb,4.5\nc,\n")
+    assert region_area(spark, str(tmp_path / "a.csv")) == 15.0
