@@ -93,10 +93,8 @@ def detect(
         calendar = store.read("mag_calendar").where(wanted)
         mag = store.read("mag").where(wanted).select(*DAY_KEYS, "r", "c", "mag")
         out = detect_frames(mag, calendar, *store.axes(), store.shape(), params)
-        for measure in sorted({m for m, _ in stale}):
-            own = [p for m, p in stale if m == measure]
-            for name in ("hw_day", "cluster_event", "event_summary", "excd"):
-                store.replace_series(name, out[name].where(F.col("measure") == measure), [measure], own)
+        for name in ("hw_day", "cluster_event", "event_summary", "excd"):
+            store.replace_series(name, out[name], stale)
         for measure, pct in stale:
             mine = (F.col("measure") == measure) & (F.col("pct") == pct)
             clusters = store.read("cluster_event").where(mine).select("pos", "cluster_idx", "event_id", "event_id_resolved", "d")

@@ -11,12 +11,13 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swelter.params import GridShape
-from swelter.session import cut_lineage, delete_path
+from swelter.session import delete_path
 from swelter.sources.tables import rebalanced, write_partitioned
 
 PARTITIONS = {
@@ -80,12 +81,10 @@ class Store:
         self._note_schema(name, df)
         write_partitioned(df, self.path(name), PARTITIONS[name], SORT.get(name, ()))
 
-    def replace_series(self, name: str, df: DataFrame, measures: Sequence[str], pcts: Sequence[float]) -> None:
-        """Replace all rows of these measures and percentiles, also by none."""
-        df = cut_lineage(_with_parts(df, PARTITIONS[name]))
-        for measure in measures:
-            for pct in pcts:
-                delete_path(self.spark, f"{self.path(name)}/measure={measure}/pct={float(pct)}")
+    def replace_series(self, name: str, df: DataFrame, series: Sequence[tuple[str, float]]) -> None:
+        """Replace all rows of these (measure, percentile) series, also by none. ``df`` must not read the table."""
+        for measure, pct in series:
+            self.drop_partition(name, f"measure={measure}/pct={float(pct)}")
         self.write(name, df)
 
     def drop_partition(self, name: str, partition: str) -> None:
@@ -116,28 +115,34 @@ class Store:
         return self.path(f"_manifest/{name}")
 
     def _versions(self, name: str) -> list[str]:
-        """Folders of a manifest, the newest first."""
+        """Files of a manifest, the newest first."""
         fs, target = self._fs(self._manifest(name))
-        return sorted((str(x.getPath()) for x in fs.listStatus(target)), reverse=True) if fs.exists(target) else []
+        found = [str(x.getPath()) for x in fs.listStatus(target)] if fs.exists(target) else []
+        return sorted((p for p in found if p.endswith(".json")), reverse=True)
 
     def save_manifest(self, name: str, params: dict) -> None:
         """A new version beside the old one, which goes only when the new one is complete."""
         old = self._versions(name)
-        text = json.dumps(params, sort_keys=True, default=str)
-        rows = self.spark.createDataFrame([(text,)], "value string")
-        rows.coalesce(1).write.text(f"{self._manifest(name)}/{time.time_ns():020d}")
+        base = f"{self._manifest(name)}/{time.time_ns():020d}"
+        fs, part = self._fs(f"{base}.part")
+        out = fs.create(part)
+        out.write(bytearray(json.dumps(params, sort_keys=True, default=str).encode()))
+        out.close()
+        fs.rename(part, self._fs(f"{base}.json")[1])
         for path in old:
             delete_path(self.spark, path)
 
     def load_manifest(self, name: str) -> dict | None:
         """Parameters of the stored product, or None when there are none or they are unreadable."""
-        for path in self._versions(name):
-            fs, done = self._fs(f"{path}/_SUCCESS")
-            if fs.exists(done):
-                try:
-                    return json.loads(self.spark.read.text(path).first()[0])
-                except (TypeError, ValueError, IndexError):
-                    return None
+        for path in self._versions(name)[:1]:
+            fs, target = self._fs(path)
+            stream = fs.open(target)
+            try:
+                return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except (ValueError, Py4JJavaError):
+                return None
+            finally:
+                stream.close()
         return None
 
     def drop_manifest(self, name: str) -> None:
