@@ -26,4 +26,4 @@ def test_same_as_sql(spark, name):
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).count() == 3000
+    assert entry.entry(spark).count() == 4500
