@@ -40,36 +40,28 @@ def interp_axis(df: DataFrame, axis: DataFrame, position: str, out: str) -> Data
     return placed.join(seg, "_i", "left").withColumn(out, value).drop("_i", "_pos", "_a", "_b")
 
 
-def nearest_index(points: DataFrame, axis: DataFrame, coord: str, out: str, key: list[str]) -> DataFrame:
+def nearest_index(points: DataFrame, axis: DataFrame, coord: str, out: str) -> DataFrame:
     """Index of the axis entry closest to ``coord``, the first one on ties; NULL for no coordinate.
 
-    Axis and points are cut into buckets as wide as the largest gap on the axis, so the
-    closest entry is in the point's bucket or next to it: an equi-join, no product.
-    ``key`` must identify the points.
+    The axis (one entry per grid row or column) is one sorted array, searched by halving in
+    every row: the points are not moved.
     """
-    bounds = axis.agg(F.min("coord").alias("lo"), F.max("coord").alias("hi"), F.count("*").alias("n"))
-    ordered = axis.select("idx", "coord").join(
-        axis.select((F.col("idx") + 1).alias("idx"), F.col("coord").alias("prev")), "idx", "left"
-    )
-    gap = ordered.select(
-        F.greatest(F.coalesce(F.max(F.abs(F.col("coord") - F.col("prev"))), F.lit(1.0)), F.lit(1e-9)).alias("g")
-    ).scalar()
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    side = axis.select("idx", F.col("coord").alias("_at"), gap.alias("_g")).withColumn(
-        "_bucket", F.floor(F.col("_at") / F.col("_g"))
-    )
-    clamped = F.greatest(lo, F.least(F.col(coord), hi))
-    probe = points.where(F.col(coord).isNotNull()).select(*key, F.col(coord).alias("_x"), clamped.alias("_in"))
-    probe = probe.withColumn("_b", F.floor(F.col("_in") / gap)).select(
-        *key, "_x", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_bucket")
-    )
-    best = (
-        probe.join(side, "_bucket")
-        .groupBy(*key)
-        .agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_x")).alias("gap"), F.col("idx"))).alias("_best"))
-        .select(*key, F.col("_best.idx").alias(out))
-    )
-    return points.join(best, key, "left")
+    entry = F.struct("coord", "idx")
+    distinct = axis.where("coord is not null").groupBy("coord").agg(F.min("idx").alias("idx"))
+    found = points.withColumn("_axis", distinct.agg(F.sort_array(F.collect_list(entry)).alias("a")).scalar())
+    found = found.withColumn("_x", F.col(coord).cast("double"))
+    middle = "cast((s.lo + s.hi) div 2 as int)"
+    at = F.expr(f"""aggregate(sequence(1, length(bin(size(_axis)))), named_struct('lo', 0, 'hi', size(_axis)),
+        (s, _) -> if(s.lo >= s.hi, s, if(get(_axis, {middle}).coord < _x,
+            named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))), s -> s.lo)""")
+    found = found.withColumn("_at", at)
+
+    def neighbour(step: int) -> Column:
+        e = F.get("_axis", F.col("_at") + step)
+        return F.when(e.isNotNull(), F.struct(F.abs(e["coord"] - F.col("_x")).alias("gap"), e["idx"].alias("idx")))
+
+    best = F.when(F.col("_x").isNotNull(), F.least(neighbour(-1), neighbour(0))["idx"])
+    return found.withColumn(out, best).drop("_axis", "_x", "_at")
 
 
 def grid_signature(axis_row: DataFrame, axis_col: DataFrame) -> DataFrame:

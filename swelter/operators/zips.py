@@ -37,8 +37,8 @@ def zip_window(
 ) -> DataFrame:
     """Rectangle ``r0..r1, c0..c1`` of cells around each located ZIP, clipped to the grid."""
     placed = centroids.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    placed = nearest_index(placed, axis_row, "lat", "r_near", ["zip"])
-    placed = nearest_index(placed, axis_col, "lon", "c_near", ["zip"])
+    placed = nearest_index(placed, axis_row, "lat", "r_near")
+    placed = nearest_index(placed, axis_col, "lon", "c_near")
 
     def lo(name: str):
         return F.greatest(F.col(name) - buffer, F.lit(0))

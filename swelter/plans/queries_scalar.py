@@ -114,7 +114,7 @@ def nearest_cell(spark, sf):
     at = b.table(spark, sf, "customer").select(
         "c_custkey", (F.col("c_acctbal") / 7000 + 25).alias("y"), (F.col("c_acctbal") / 9000 - 99.9).alias("x")
     )
-    near = grid.nearest_index(grid.nearest_index(at, rows, "y", "r", ["c_custkey"]), cols, "x", "c", ["c_custkey"])
+    near = grid.nearest_index(grid.nearest_index(at, rows, "y", "r"), cols, "x", "c")
     return near.select("c_custkey", "r", "c")
 
 

@@ -195,7 +195,7 @@ def test_detector_of_a_day_against_brute_force(field, axes):
 def test_axis_lookup(spark):
     axis = spark.createDataFrame([(0, 10.0), (1, 11.0), (2, 13.0), (3, 13.5)], "idx int, coord double")
     pts = spark.createDataFrame([(i, x) for i, x in enumerate((9.0, 10.5, 10.6, 12.0, 12.1, 99.0, None))], "k int, x double")
-    near = {r.k: r.i for r in grid.nearest_index(pts, axis, "x", "i", ["k"]).collect()}
+    near = {r.k: r.i for r in grid.nearest_index(pts, axis, "x", "i").collect()}
     assert [near[k] for k in range(7)] == [0, 0, 1, 1, 2, 3, None]
     pos = spark.createDataFrame([(0.2,), (1.0,), (2.5,), (3.75,), (4.0,), (9.0,)], "p double")
     got = [r.v for r in grid.interp_axis(pos, axis, "p", "v").orderBy("p").collect()]
