@@ -4,10 +4,16 @@ Two fingerprints at most two bits apart have a common point at most one bit from
 every distinct fingerprint is sent to its 65 points and those that meet are linked. Points
 within one bit of a point are within two of each other: the fingerprints of a point are all
 neighbours, and a chain through them keeps what is reachable without listing pairs.
+
+``near_duplicates`` links by such a fingerprint of 64 bits alone. ``near_copies`` uses several
+shorter fingerprints of word pairs to find candidates (one word changed alters two pairs, so
+near copies stay close) and links those whose shingle sets are alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -19,28 +25,40 @@ from swelter.operators.graph import connected_components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+#: Near copies: the shingles compared, and the least Jaccard similarity of two sets of them.
+COPY_SHINGLE = 5
+ALIKE = 0.8
+#: Candidates for near copies: fingerprints per text, bits of each, words per feature.
+TABLES = 8
+BITS = 32
+COPY_FEATURE = 2
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the hashed shingles, as a signed number.
+def _words(text: str | None) -> list[bytes]:
+    """bytes.lower and bytes.split touch ASCII alone, as the definition of words asks."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    bytes.lower and bytes.split touch ASCII alone, as the definition of words asks. Hashes
-    are counted in chunks, so a very long text needs no more memory than its words.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+
+def _hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``size`` words, or of all if there are fewer; in chunks, so a very
+    long text needs no more memory than its words."""
+    n = max(1, len(words) - size + 1) if words else 0
     digest = xxhash.xxh64_intdigest
     for lo in range(0, n, _CHUNK):
-        hashes = np.fromiter(
-            (digest(b" ".join(words[i : i + shingle]), SEED) for i in range(lo, min(n, lo + _CHUNK))), np.uint64
-        )
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+        yield np.fromiter((digest(b" ".join(words[i : i + size]), SEED) for i in range(lo, min(n, lo + _CHUNK))), np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the hashed shingles, as a signed number."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in _hashes(_words(text), shingle):
+        n, ones = n + len(hashes), ones + _ones(hashes)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
@@ -84,11 +102,82 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def copy_prints(words: list[bytes]) -> list[int]:
+    """``TABLES`` fingerprints of ``BITS`` bits: majority bits of the word pairs, hashed anew for every 64 bits."""
+    rounds = -(-TABLES * BITS // 64)
+    n, ones = 0, np.zeros((rounds, 64), np.int64)
+    for hashes in _hashes(words, COPY_FEATURE):
+        n += len(hashes)
+        for k in range(rounds):
+            ones[k] += _ones(hashes)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = (2 * ones.ravel() > n)[: TABLES * BITS].reshape(TABLES, BITS)
+    return (bits @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The different hashes of the shingles of a text, in order."""
+    parts = list(_hashes(words, COPY_SHINGLE))
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
+
+
+def _set_id(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def _copy_marks(texts: list) -> list:
+    split = [_words(t) for t in texts]
+    return [[_set_id(shingle_set(w)) for w in split], [copy_prints(w) if w else [] for w in split]]
+
+
+def _copy_sets(texts: list) -> list:
+    found = [shingle_set(_words(t)) for t in texts]
+    return [[_set_id(f) for f in found], found]
+
+
+def copy_candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of which some fingerprint is at most two bits apart.
+
+    ``distinct``: sid (unique) and prints. Sets with the same fingerprint are compared with
+    the first and the last of them, however many there are. Every different fingerprint then
+    goes to its ball of ``BITS + 1`` points on behalf of its first set. A point is met by
+    ``BITS + 1`` fingerprints at most, so those that meet there can be paired.
+    """
+    own = distinct.select("sid", F.posexplode("prints").alias("t", "p"))
+    own = own.select("sid", (F.col("t").cast("long") * F.lit(1 << BITS) + F.col("p")).alias("print"))
+    ends = store(own.groupBy("print").agg(F.min("sid").alias("low"), F.max("sid").alias("high")))
+    same = own.join(ends.where("low < high"), "print").select("sid", F.explode(F.array("low", "high")).alias("other"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(BITS)])
+    ball = ends.select("low", "print", F.explode(flips).alias("flip")).select("low", F.col("print").bitwiseXOR(F.col("flip")).alias("point"))
+    met = ball.withColumn("met", F.collect_list("low").over(Window.partitionBy("point"))).where(F.size("met") > 1)
+    pairs = same.unionByName(met.select(F.col("low").alias("sid"), F.explode("met").alias("other"))).where("sid <> other")
+    return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """first (one struct of none, doc_id and _row per set of shingles), sid and comp of all ``docs``.
+
+    ``docs``: doc_id, text and _row (equal for equal rows). Texts with the same set of shingles
+    are one set, those without words too. Candidates are verified by the Jaccard similarity of
+    their whole sets; only texts in a candidate pair are read for that.
+    """
+    marked = map_text(docs, _copy_marks, "sid long, prints array<bigint>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    distinct = store(marked.groupBy("sid").agg(first, F.min("prints").alias("prints")))
+    pairs = store(copy_candidates(distinct))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = distinct.join(paired, "sid", "left_semi").select("first._row")
+    texts = docs.select("_row", "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("text")
+    sets = store(map_text(texts, _copy_sets, "sid long, hashes array<bigint>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    alike = F.col("shared") >= F.lit(ALIKE) * (F.size("x") + F.size("y") - F.col("shared"))
+    labels = connected_components(both.where(alike).select("a", "b"), []).select(F.col("node").alias("sid"), "comp")
+    return distinct.join(labels, "sid", "left").select("first", "sid", F.coalesce("comp", "sid").alias("comp"))
+
+
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of every component: the smallest id, ids before NULL, then the smallest digest of the text."""
+    """One row of every group of near copies: the smallest id, ids before NULL, then the smallest digest of the text."""
     own = pick(docs, *columns).withColumn("_row", F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    marked = store(fingerprints(own, "doc_id", "_row"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    first = marked.groupBy("fp").agg(best.alias("first"))
-    stay = components(marked).join(first, "fp").groupBy("comp").agg(F.min("first").alias("first")).select("first._row")
+    stay = near_copies(own.select("doc_id", "text", "_row")).groupBy("comp").agg(F.min("first").alias("first")).select("first._row")
     return own.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)

@@ -1,6 +1,7 @@
 """Awkward tables for the training-data operators, and DuckDB over the same rows."""
 
 import random
+import re
 
 import duckdb
 import pyarrow as pa
@@ -13,6 +14,17 @@ def sentence(r, n):
     return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
 
 
+def copy_shingles(text):
+    """The runs of five words (all words if there are fewer) of a text."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def edge_rows(seed=1, long_words=30_000):
     """NULLs in every column, empty and very long texts, ties, repeated rows."""
     r = random.Random(seed)

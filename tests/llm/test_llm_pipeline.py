@@ -4,10 +4,10 @@ import random
 
 import pytest
 from compare import differences, duck
-from llm_data import edge_docs, edge_rows, empty_docs, sentence
+from llm_data import alike, copy_shingles, edge_docs, edge_rows, empty_docs, sentence
 
 import corpus_pipeline
-from swelter.llm import decontam, mixing, packing, quality_fm, simhash
+from swelter.llm import decontam, mixing, packing, quality_fm
 from swelter.llm.queries import QUERIES, SQL
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -30,10 +30,10 @@ def test_each_stage_on_what_its_predecessor_kept(spark):
 
     single = stages[1](spark, good, SMALLEST).cache()
     rows = good.collect()
-    prints, label = [simhash.fingerprint(x.text) for x in rows], list(range(len(rows)))
+    sets, label = [copy_shingles(x.text) for x in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 2 and label[i] != label[j]:
+            if label[i] != label[j] and alike(sets[i], sets[j]):
                 label = [label[j] if x == label[i] else x for x in label]
     want = {min(r.doc_id for r, x in zip(rows, label) if x == c) for c in set(label)}
     assert single.columns == columns and {x.doc_id for x in single.collect()} == want

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from llm_data import DOC, edge_docs, edge_rows, empty_docs, plain_docs, sentence
+from llm_data import DOC, alike, copy_shingles, edge_docs, edge_rows, empty_docs, plain_docs, sentence
 
 from swelter.llm import decontam, html_blocks, html_crf, language_spans, packing, quality_fm, simhash
 from swelter.llm.html_samples import PageMaker
@@ -51,9 +51,54 @@ def test_near_duplicates_like_brute_force(spark):
     want = sorted((str(rows[i][0]), f"{prints[i]:016x}", str(first[label[i]])) for i in range(len(rows)))
     got = simhash.near_duplicates(edge_docs(spark, rows)).collect()
     assert sorted((str(x.doc_id), x.fingerprint, str(x.component_id)) for x in got) == want
-    kept = simhash.one_of_each(plain_docs(spark, rows), ["doc_id", "text"]).collect()
-    assert len(kept) == len(set(label))
-    assert {x.doc_id for x in kept if x.doc_id is not None} == {v for v in first.values() if v is not None}
+
+
+def test_one_of_each_like_brute_force(spark):
+    """Every group is one chain of copies, or copies with edits of their own; edits near the limit on both sides."""
+    r = random.Random(5)
+    rows = edge_rows(long_words=4000)
+    for g in range(12):
+        base = sentence(r, r.randint(60, 400)).split()
+        for k in range(6):
+            words = list(base)
+            for _ in range(max(1, len(words) * r.choice([2, 5, 60]) // 1000)):
+                words[r.randrange(len(words))] = "X" + str(r.randrange(10**6))
+            rows.append((1000 - 10 * g - k, " ".join(words), "en", "s", 1))
+            base = words if g % 2 else base
+    rows += [(2000 + k, rows[0][1].upper(), "en", "s", 1) for k in range(300)]
+    sets, label = [copy_shingles(x[1]) for x in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if label[i] != label[j] and alike(sets[i], sets[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    kept = [x.doc_id for x in simhash.one_of_each(plain_docs(spark, rows), ["doc_id", "text"]).collect()]
+    want = {min((x[0] for x, c in zip(rows, label) if c == group and x[0] is not None), default=None) for group in set(label)}
+    missed = {x for x in kept if x is not None} - want
+    assert want - {None} <= set(kept)
+    # fingerprints find candidates with a high probability only
+    assert len(kept) - len(set(label)) == len(missed) <= 1
+
+
+def test_many_copies_with_one_fingerprint(spark):
+    """Sets that share a fingerprint are compared with two of them, not with each other."""
+    rows = [(k, [7 + (t << 8) for t in range(simhash.TABLES)]) for k in range(500)]
+    pairs = simhash.copy_candidates(spark.createDataFrame(rows, "sid long, prints array<long>")).collect()
+    assert {(x.a, x.b) for x in pairs} == {(0, k) for k in range(1, 500)} | {(k, 499) for k in range(499)}
+
+
+def test_candidates_are_those_within_two_bits(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(60):
+        prints = [r.getrandbits(simhash.BITS) for _ in range(simhash.TABLES)] if k % 4 == 0 else list(rows[-1][1])
+        t = r.randrange(simhash.TABLES)
+        for b in r.sample(range(simhash.BITS), r.randint(1, 4)):
+            prints = [p ^ (1 << b) if (i == t or k % 2) else p ^ (1 << b) * 0b111 % (1 << simhash.BITS) for i, p in enumerate(prints)]
+        rows.append((k, prints))
+    near = lambda p, q: any(bin(x ^ y).count("1") <= 2 for x, y in zip(p, q))
+    want = {(i, j) for (i, p), (j, q) in itertools.combinations(rows, 2) if near(p, q)}
+    got = simhash.copy_candidates(spark.createDataFrame(rows, "sid long, prints array<long>")).collect()
+    assert want and {(x.a, x.b) for x in got} == want
 
 
 def test_links_keep_what_is_reachable(spark):
