@@ -132,8 +132,9 @@ def _copy_marks(texts: list) -> list:
 
 
 def _copy_sets(texts: list) -> list:
+    """Ids of the sets, and their shingles by 32 bits of the hash: enough within a pair, and half of what is shuffled."""
     found = [shingle_set(_words(t)) for t in texts]
-    return [[_set_id(f) for f in found], found]
+    return [[_set_id(f) for f in found], [np.unique(f.astype(np.int32)) for f in found]]
 
 
 def copy_candidates(distinct: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = distinct.join(paired, "sid", "left_semi").select("first._row")
     texts = docs.select("_row", "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("text")
-    sets = store(map_text(texts, _copy_sets, "sid long, hashes array<bigint>"))
+    sets = store(map_text(texts, _copy_sets, "sid long, hashes array<int>"))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     alike = F.col("shared") >= F.lit(ALIKE) * (F.size("x") + F.size("y") - F.col("shared"))
     labels = connected_components(both.where(alike).select("a", "b"), []).select(F.col("node").alias("sid"), "comp")
