@@ -5,9 +5,11 @@ every distinct fingerprint is sent to its 65 points and those that meet are link
 within one bit of a point are within two of each other: the fingerprints of a point are all
 neighbours, and a chain through them keeps what is reachable without listing pairs.
 
-``near_duplicates`` links by such a fingerprint of 64 bits alone. ``near_copies`` uses several
-shorter fingerprints of word pairs to find candidates (one word changed alters two pairs, so
-near copies stay close) and links those whose shingle sets are alike.
+``near_duplicates`` links by such a fingerprint of 64 bits alone. ``near_copies`` links texts whose
+shingle sets are alike, without exception. Several shorter fingerprints of word pairs find most
+candidates (one word changed alters two pairs, so near copies stay close). What they leave is
+found by a prefix filter: in any one order of all shingles, two sets with a similarity of
+``ALIKE`` share one of their first n - ceil(ALIKE n) + 1.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.llm.common import map_text, pick, store
@@ -32,6 +34,12 @@ ALIKE = 0.8
 TABLES = 8
 BITS = 32
 COPY_FEATURE = 2
+#: Common shingles stand last in the order of the prefix filter: those seen this often in one of so many texts, and no more than so many.
+SAMPLED = 16
+COMMON = 4
+MOST_COMMON = 1 << 18
+#: Rounds in which every shingle has one text compared with the others, before all that is left is.
+LEADER_ROUNDS = 4
 _CHUNK = 1 << 16
 
 
@@ -126,9 +134,39 @@ def _set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
-def _copy_marks(texts: list) -> list:
-    split = [_words(t) for t in texts]
-    return [[_set_id(shingle_set(w)) for w in split], [copy_prints(w) if w else [] for w in split]]
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which every set alike has one among its own: rare ones first, ``common`` (sorted) by their counts."""
+    often = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        often = np.where(common[at] == found, counts[at], 0)
+    return found[np.lexsort((found, often))][: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of the texts and their counts. They only set the order, so any will do."""
+    sample = docs.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLED)) == 0).select("text")
+    each = map_text(sample, lambda texts: [[shingle_set(_words(t)) for t in texts]], "hashes array<bigint>")
+    seen = each.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    found = seen.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    hashes, counts = found.column("h").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def copy_marks(docs: DataFrame) -> DataFrame:
+    """``docs`` with sid, prints, the number of shingles and the prefix in place of the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def marks(texts: list) -> list:
+        split = [_words(t) for t in texts]
+        sets = [shingle_set(w) for w in split]
+        return [
+            [_set_id(f) for f in sets], [copy_prints(w) if w else [] for w in split],
+            [len(f) for f in sets], [prefix(f, *sent.value) for f in sets],
+        ]
+
+    return map_text(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>")
 
 
 def _copy_sets(texts: list) -> list:
@@ -156,24 +194,84 @@ def copy_candidates(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """first (one struct of none, doc_id and _row per set of shingles), sid and comp of all ``docs``.
+def _could_be_alike(x: str, y: str) -> Column:
+    """False where two sets that share the shingle at these places of their orders cannot be alike."""
+    n, m, i, j = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (x, y))
+    most = F.least(i, j) + F.least(n - i, m - j)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
-    ``docs``: doc_id, text and _row (equal for equal rows). Texts with the same set of shingles
-    are one set, those without words too. Candidates are verified by the Jaccard similarity of
-    their whole sets; only texts in a candidate pair are read for that.
-    """
-    marked = map_text(docs, _copy_marks, "sid long, prints array<bigint>")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    distinct = store(marked.groupBy("sid").agg(first, F.min("prints").alias("prints")))
-    pairs = store(copy_candidates(distinct))
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a shingle of ``left`` and ``right``."""
+    both = left.alias("x").join(right.alias("y"), "h").where(F.col("x.comp") != F.col("y.comp")).where(_could_be_alike("x", "y"))
+    return both.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that several components share."""
+    several = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return store(rows.join(several.select("h"), "h"))
+
+
+def _with_comp(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    mapped = labels.select(F.col("node").alias("sid"), F.col("comp").alias("_comp"))
+    return rows.join(mapped, "sid", "left").withColumn("comp", F.coalesce("_comp", "sid")).drop("_comp")
+
+
+def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of which the whole sets are alike; only their texts are read."""
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = distinct.join(paired, "sid", "left_semi").select("first._row")
     texts = docs.select("_row", "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("text")
     sets = store(map_text(texts, _copy_sets, "sid long, hashes array<int>"))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     alike = F.col("shared") >= F.lit(ALIKE) * (F.size("x") + F.size("y") - F.col("shared"))
-    labels = connected_components(both.where(alike).select("a", "b"), []).select(F.col("node").alias("sid"), "comp")
+    return store(both.where(alike).select("a", "b"))
+
+
+def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node and comp of all sets that are alike to another, by way of others too.
+
+    Pairs by fingerprint come first. Then the sets that share a shingle of their prefixes are
+    compared if they are not connected yet: in every round one of each shingle, the one that
+    shares most of its prefix (an original, more than its variants), with all others; it then
+    leaves that shingle. After the rounds all pairs left are compared.
+    """
+    links = _alike(docs, distinct, store(copy_candidates(distinct)))
+    labels = store(connected_components(links, []))
+    rows = distinct.select("sid", "n", F.posexplode("prefix").alias("at", "h"))
+    rows = _open(_with_comp(rows, labels))
+    size = F.col("n") - F.ceil(F.lit(4) * F.col("n") / 5) + 1
+    shared = rows.groupBy("sid").agg((F.count(F.lit(1)) / F.max(size)).alias("central"))
+    rows = store(rows.join(shared, "sid"))
+    for k in range(LEADER_ROUNDS + 1):
+        if rows.isEmpty():
+            break
+        first = rows.groupBy("h").agg(F.max(F.struct("central", "sid", "n", "at", "comp")).alias("lead"))
+        first = store(first.select("h", "lead.*"))
+        pairs = store(_pairs(first if k < LEADER_ROUNDS else rows, rows))
+        more = _alike(docs, distinct, pairs)
+        if not more.isEmpty():
+            links = store(links.unionByName(more))
+            labels = store(connected_components(links, []))
+        if k < LEADER_ROUNDS:
+            left = rows.join(first.select("h", "sid"), ["h", "sid"], "left_anti")
+            rows = _open(_with_comp(left.drop("comp"), labels))
+    return labels
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """first (one struct of none, doc_id and _row per set of shingles), sid and comp of all ``docs``.
+
+    ``docs``: doc_id, text and _row (equal for equal rows). Texts with the same set of shingles
+    are one set, those without words too. Sets are linked when their Jaccard similarity is
+    ``ALIKE`` or more; a component is what links lead to.
+    """
+    marked = copy_marks(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    alike = [F.min(c).alias(c) for c in ("prints", "n", "prefix")]
+    distinct = store(marked.groupBy("sid").agg(first, *alike))
+    labels = copy_links(docs, distinct).select(F.col("node").alias("sid"), "comp")
     return distinct.join(labels, "sid", "left").select("first", "sid", F.coalesce("comp", "sid").alias("comp"))
 
 

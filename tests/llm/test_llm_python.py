@@ -101,6 +101,26 @@ def test_candidates_are_those_within_two_bits(spark):
     assert want and {(x.a, x.b) for x in got} == want
 
 
+def test_star_of_variants_is_one_group(spark, monkeypatch):
+    """Variants alike to their original alone, which is neither the first nor the last of them by any id."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(1000):
+        words = list(base)
+        for at in r.sample(range(10, 290, 8), 5):
+            words[at] = f"v{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [copy_shingles(t) for t in texts]
+    assert all(alike(sets[0], s) for s in sets) and not any(alike(sets[i], sets[i + 1]) for i in range(1, 1000))
+    # one original among many texts is easy to take for a leader; without it every variant stays alone
+    for rows in (texts, texts[1:61]):
+        docs = plain_docs(spark, [(k, t, "en", "s", 1) for k, t in enumerate(rows)])
+        want = {0} if rows is texts else set(range(60))
+        kept = [x.doc_id for x in simhash.one_of_each(docs, ["doc_id", "text"]).collect()]
+        assert sorted(kept) == sorted(want)
+
+
 def test_links_keep_what_is_reachable(spark):
     r = random.Random(2)
     prints = {0, 3, 6, 1 << 63}
