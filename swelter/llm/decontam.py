@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Items are cut into windows of up to ``WINDOW`` characters. A window of length m that occurs
-in a text with at most k edits shares m + 1 - q (k + 1) of its q-grams with it, all on
-diagonals (place in the text minus place in the item) at most k to either side of one. So
-shared q-grams are counted in overlapping diagonal bands, regions that reach the bound are
-aligned within a band, and those within the budget count.
+The windows of an item are all its runs of ``WINDOW`` characters, or the whole item if it is
+shorter. A window of length m that occurs in a text with at most k edits shares
+m + 1 - q (k + 1) of its q-grams with it, all on diagonals (place in the text minus place in
+the item) at most k to either side of one. So shared q-grams are counted in overlapping
+diagonal bands, a sum along the band gives the count of every window, windows that reach the
+bound are aligned within the band, and those within the budget count.
 
 The benchmark is a stated query set: it goes over all documents in blocks of bounded size.
 """
@@ -21,12 +22,13 @@ from swelter.llm.common import map_text, pick
 
 Q = 12
 WINDOW = 96
-STEP = 48
 EDIT_RATE = 0.05
 #: Characters of benchmark items that are sent to the tasks at once.
 BLOCK_CHARS = 2_000_000
 #: Characters of a text that are looked at at once.
 CHUNK = 1 << 20
+#: Windows that are aligned at once.
+_ALIGNED = 256
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -109,10 +111,9 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def windows(length: int) -> list[tuple[int, int]]:
-    """Start and end of the windows of an item; the last one ends with it."""
-    if length <= WINDOW:
-        return [(0, length)]
-    return [(s, s + WINDOW) for s in range(0, length - WINDOW, STEP)] + [(length - WINDOW, length)]
+    """Start and end of the windows of an item, one at every place."""
+    m = min(WINDOW, length)
+    return [(s, s + m) for s in range(length - m + 1)]
 
 
 def budget(m: int) -> int:
@@ -120,24 +121,30 @@ def budget(m: int) -> int:
     return max(0, min(int(EDIT_RATE * m), (m - Q) // Q))
 
 
-def least_edits(pattern: np.ndarray, text: np.ndarray, diagonals: tuple[int, int], k: int) -> int:
-    """Fewest edits of the pattern against any part of the text, aligned within the band; k + 1 if over k."""
+def least_edits(pattern: np.ndarray, starts: np.ndarray, m: int, text: np.ndarray, diagonals: tuple[int, int], k: int) -> int:
+    """Fewest edits of a window of ``m`` at one of the ``starts`` against any part of the text, aligned within the band; k + 1 if over k."""
     lo, hi = diagonals[0] - k, diagonals[1] + k
     width, big = hi - lo + 1, k + 1
-    row = np.where((np.arange(lo, hi + 1) >= 0) & (np.arange(lo, hi + 1) <= len(text)), 0, big)
+    if not len(text):
+        return big
+    # one row per window; a column is a diagonal
+    at = starts[:, None] + np.arange(lo, hi + 1)
+    row = np.where((at >= 0) & (at <= len(text)), 0, big)
     steps = np.arange(width)
-    for i, c in enumerate(pattern):
-        at = np.arange(lo, hi + 1) + i
+    for i in range(m):
         inside = (at >= 0) & (at < len(text))
-        differ = np.where(inside, text[np.clip(at, 0, max(0, len(text) - 1))] != c, True) if len(text) else np.ones(width, bool)
+        differ = text[np.clip(at, 0, len(text) - 1)] != pattern[starts + i][:, None]
         step = np.where(inside, row + differ, big)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        edge = at + 1
-        step[(edge < 0) | (edge > len(text))] = big
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+        at = at + 1
+        step[(at < 0) | (at > len(text))] = big
         # a gap in the pattern costs one per column: smallest of what stands to the left plus the distance
-        row = np.minimum(np.minimum.accumulate(step - steps) + steps, big)
-        if row.min() > k:
-            return big
+        row = np.minimum(np.minimum.accumulate(step - steps, axis=1) + steps, big)
+        alive = (row <= k).any(axis=1)
+        if not alive.all():
+            if not alive.any():
+                return big
+            row, at, starts = row[alive], at[alive], starts[alive]
     return int(row.min())
 
 
@@ -156,52 +163,54 @@ def _found(codes: np.ndarray, block: Block, done: set[int]) -> set[int]:
         return set()
     entry = np.repeat(block.starts[key] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
     item, place, diagonal = block.items[entry], block.places[entry], np.repeat(at, many) - block.places[entry]
-    # an item needs at least the least bound of its windows, whatever the diagonal
+    # an item needs at least the bound of a window, whatever the diagonal
     total = np.bincount(item, minlength=len(block.ids))
     out: set[int] = set()
     for i in np.flatnonzero(total):
         if i in done:
             continue
         pattern = block.codes[i]
-        spans = windows(len(pattern))
-        least = min(b - a + 1 - Q * (budget(b - a) + 1) for a, b in spans)
-        if total[i] < max(1, least):
+        m = min(WINDOW, len(pattern))
+        if total[i] < _bound(m):
             continue
         mine = item == i
-        p, d = place[mine], diagonal[mine]
-        if any(_span_occurs(codes, pattern, a, b, p, d) for a, b in spans):
+        if _window_occurs(codes, pattern, m, place[mine], diagonal[mine]):
             out.add(int(i))
     return out
 
 
-def _span_occurs(codes: np.ndarray, pattern: np.ndarray, a: int, b: int, p: np.ndarray, d: np.ndarray) -> bool:
-    k = budget(b - a)
-    bound = max(1, b - a + 1 - Q * (k + 1))
-    inside = (p >= a) & (p + Q <= b)
-    if inside.sum() < bound:
-        return False
-    own, reach = d[inside], 2 * k + 1
+def _bound(m: int) -> int:
+    return max(1, m + 1 - Q * (budget(m) + 1))
+
+
+def _window_occurs(codes: np.ndarray, pattern: np.ndarray, m: int, p: np.ndarray, d: np.ndarray) -> bool:
+    """True when a window of ``m`` occurs within its budget, given the places and diagonals of all shared q-grams."""
+    k, bound = budget(m), _bound(m)
+    reach = 2 * k + 1
     # bands 2 * reach wide, one every reach: any 2k + 1 neighbouring diagonals lie in one of them
-    band = np.floor_divide(own, reach)
+    order = np.argsort(d, kind="stable")
+    p, d = p[order], d[order]
+    band = np.floor_divide(d, reach)
     names, counts = np.unique(np.concatenate([band, band - 1]), return_counts=True)
     for name in names[counts >= bound]:
         low, high = int(name) * reach, int(name) * reach + 2 * reach - 1
-        start = max(0, low + a - k)
-        part = codes[start : max(start, high + b + k)]
-        shift = a - start
-        if pattern[a:b].tobytes() in part.tobytes() and _aligned(pattern[a:b], part):
-            return True
-        if least_edits(pattern[a:b], part, (low + shift, high + shift), k) <= k:
+        own = p[np.searchsorted(d, low) : np.searchsorted(d, high, "right")]
+        here = np.zeros(len(pattern) + 1, np.int64)
+        here[own + 1] = 1
+        sums = np.cumsum(here)
+        shared = sums[m - Q + 1 : len(pattern) - Q + 2] - sums[: len(pattern) - m + 1]
+        starts = np.flatnonzero(shared >= bound)
+        if not len(starts):
+            continue
+        best = starts[np.argmax(shared[starts]) :][:1]
+        if least_edits(pattern, best, m, codes, (low, high), k) <= k:
             return True
+        for at in range(0, len(starts), _ALIGNED):
+            if least_edits(pattern, starts[at : at + _ALIGNED], m, codes, (low, high), k) <= k:
+                return True
     return False
 
 
-def _aligned(pattern: np.ndarray, part: np.ndarray) -> bool:
-    """The pattern itself stands in the part (not only its bytes across codes)."""
-    n = len(part) - len(pattern) + 1
-    return n > 0 and any((part[s : s + len(pattern)] == pattern).all() for s in np.flatnonzero(part[:n] == pattern[0]))
-
-
 def matched_items(text: str | None, blocks: list[Block]) -> list[int]:
     """Ids of the items of which a window occurs in the text within its edit budget, in order."""
     codes = normal(text)

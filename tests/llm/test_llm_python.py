@@ -197,6 +197,30 @@ def test_decontamination_like_brute_force(spark, monkeypatch):
     assert decontam.mark_contaminated(plain_docs(spark, rows), benchmark.limit(0), "doc_id").where("size(item_ids) > 0").count() == 0
 
 
+def test_passages_of_all_places_of_an_item():
+    """Every run of WINDOW characters of an item is found, verbatim and with the edits of its budget."""
+    r = random.Random(9)
+    item = sentence(r, 45)
+    own = decontam.normal(item)
+    blocks = [decontam.Block.of([(1, sentence(r, 30)), (2, item)])]
+    text = lambda codes: "".join(map(chr, codes))
+    around = lambda x: sentence(r, 30) + "#" + x + "#" + sentence(r, 30)
+    for a in range(len(own) - decontam.WINDOW + 1):
+        chars = list(text(own[a : a + decontam.WINDOW]))
+        assert decontam.matched_items(around("".join(chars)), blocks) == [2]
+        for at in r.sample(range(1, decontam.WINDOW - 1), decontam.budget(decontam.WINDOW)):
+            chars[at] = "Q"
+        assert decontam.matched_items(around("".join(chars)), blocks) == [2]
+    assert decontam.matched_items(around(text(own[40:120])), blocks) == []
+    starts = np.arange(len(own) - decontam.WINDOW + 1)
+    for _ in range(20):
+        other = decontam.normal(edited(r, item[r.randrange(60) :][:150], r.randint(0, 12)))
+        band = (-len(own), len(other))
+        brute = [min(5, sellers(own[a : a + decontam.WINDOW].tolist(), other.tolist())) for a in starts[::40]]
+        assert [decontam.least_edits(own, starts[a : a + 1], decontam.WINDOW, other, band, 4) for a in starts[::40]] == brute
+        assert decontam.least_edits(own, starts[::40], decontam.WINDOW, other, band, 4) == min(brute)
+
+
 def test_very_long_texts_are_searched_across_chunks(monkeypatch):
     r = random.Random(4)
     items = [(1, sentence(r, 40)), (2, sentence(r, 40))]
