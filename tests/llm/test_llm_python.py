@@ -101,7 +101,33 @@ def test_candidates_are_those_within_two_bits(spark):
     assert want and {(x.a, x.b) for x in got} == want
 
 
-def test_star_of_variants_is_one_group(spark, monkeypatch):
+def block_edits():
+    """Pairs with one block added or replaced: similarity 0.8 exactly, and the next step below it."""
+    r = random.Random(10)
+    word = lambda: f"w{r.randrange(10**6)}"
+    for k in range(120):
+        more = 50 + k % 2
+        if k % 4 < 2:
+            base = [word() for _ in range(204)]
+            at = r.choice([0, 204])
+            other = base[:at] + [word() for _ in range(more)] + base[at:]
+        else:
+            base = [word() for _ in range(211)]
+            at, size = r.randrange(10, 170), more - 31
+            other = base[:at] + [word() for _ in range(size)] + base[at + size :]
+        yield " ".join(base), " ".join(other)
+
+
+def test_copies_with_one_block_added_or_replaced(spark):
+    pairs = list(block_edits())
+    near = [alike(copy_shingles(a), copy_shingles(b)) for a, b in pairs]
+    assert near == [k % 2 == 0 for k in range(len(pairs))]
+    docs = plain_docs(spark, [(2 * k + i, t, "en", "s", 1) for k, pair in enumerate(pairs) for i, t in enumerate(pair)])
+    kept = {x.doc_id for x in simhash.one_of_each(docs, ["doc_id", "text"]).collect()}
+    assert kept == {2 * k for k in range(len(pairs))} | {2 * k + 1 for k, x in enumerate(near) if not x}
+
+
+def test_star_of_variants_is_one_group(spark):
     """Variants alike to their original alone, which is neither the first nor the last of them by any id."""
     r = random.Random(8)
     base = [f"w{r.randrange(10**6)}" for _ in range(300)]
