@@ -115,11 +115,12 @@ def append(
         patients = cut_lineage(tables.read_patients(spark, patients_path))
         centroids = cut_lineage(tables.read_zip_centroids(spark, zip_path))
         span = patients.agg(F.min("admit"), F.max("admit")).first()
-        # only the folders of the wanted percentiles, and the years an admission looks back on
+        # only the folders of the wanted percentiles and years; the nearest hot day of hi may lie any time back
         wanted = F.col("pct").isin(*pcts)
-        years = F.col("year").between(F.year(F.date_sub(F.lit(span[0]), MAX_BACK_DAYS + 1)), F.year(F.lit(span[1])))
-        mag = store.read("mag").where(wanted & years & (F.col("measure") == "hi"))
-        excd = store.read("excd").where(wanted & years & (F.col("measure") == "t"))
+        until = F.col("year") <= F.year(F.lit(span[1]))
+        since = F.col("year") >= F.year(F.date_sub(F.lit(span[0]), MAX_BACK_DAYS + 1))
+        mag = store.read("mag").where(wanted & until & (F.col("measure") == "hi"))
+        excd = store.read("excd").where(wanted & since & until & (F.col("measure") == "t"))
         out = append_exposure(
             patients, centroids, store.read("hw_day").where(wanted), mag, excd, store.axes(), store.shape(), pcts, buffer,
         )

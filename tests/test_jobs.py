@@ -168,6 +168,23 @@ def test_append_and_summarise(store, spark, tmp_path):
         summarise(store, "hi", 99)
 
 
+def test_nearest_hot_day_of_an_earlier_year(store, tmp_path):
+    """The same answer whether or not an older admission stands in the file."""
+    admit = dt.date(2021, 3, 10)
+    (tmp_path / "z.csv").write_text("ZCTA,Latitude,Lng\n501,34.91,-89.88\n")
+    near = store.read("mag").where((F.col("measure") == "hi") & (F.col("d") < admit) & F.col("r").between(8, 10) & F.col("c").between(11, 13))
+    last = near.agg(F.max("d")).first()[0]
+    assert last.year == 2020
+    values = []
+    for older in ("", "00501,2020-07-12,\n"):
+        (tmp_path / "p.csv").write_text(f"zip5,ADMIT_DATE,DISCHARGE_DATE\n00501,{admit},\n{older}")
+        append(store, str(tmp_path / "p.csv"), str(tmp_path / "z.csv"), [80], csv=False)
+        row = store.read("exposure").orderBy("row_id").first()
+        values.append([row[f"nearest_hw_{x}_HI_admit_nan"] for x in ("back_days", "space_km", "excd")])
+    assert values[0][0] == (admit - last).days and None not in values[0]
+    assert values[1] == values[0]
+
+
 def test_patient_table_needs_a_zip(spark):
     with pytest.raises(KeyError):
         tables.prepare_patients(spark.createDataFrame([(1,)], "id int"))
