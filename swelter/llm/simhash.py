@@ -39,7 +39,7 @@ SAMPLED = 16
 COMMON = 4
 MOST_COMMON = 1 << 18
 #: Rounds in which every shingle has one text compared with the others, before all that is left is.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 _CHUNK = 1 << 16
 
 
@@ -219,7 +219,15 @@ def _with_comp(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs of which the whole sets are alike; only their texts are read."""
+    """Those of the pairs of which the whole sets are alike.
+
+    What both prefixes share and the longer rest of the two are an upper bound of what the
+    sets share; only texts in a pair that can be alike by it are read.
+    """
+    own = distinct.select("sid", "n", "prefix")
+    known = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b")
+    most = F.size(F.array_intersect("p", "q")) + F.greatest(F.col("n") - F.size("p"), F.col("m") - F.size("q"))
+    pairs = store(known.where(9 * most >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = distinct.join(paired, "sid", "left_semi").select("first._row")
     texts = docs.select("_row", "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("text")
@@ -237,7 +245,7 @@ def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shares most of its prefix (an original, more than its variants), with all others; it then
     leaves that shingle. After the rounds all pairs left are compared.
     """
-    links = _alike(docs, distinct, store(copy_candidates(distinct)))
+    links = _alike(docs, distinct, copy_candidates(distinct))
     labels = store(connected_components(links, []))
     rows = distinct.select("sid", "n", F.posexplode("prefix").alias("at", "h"))
     rows = _open(_with_comp(rows, labels))
@@ -249,8 +257,7 @@ def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             break
         first = rows.groupBy("h").agg(F.max(F.struct("central", "sid", "n", "at", "comp")).alias("lead"))
         first = store(first.select("h", "lead.*"))
-        pairs = store(_pairs(first if k < LEADER_ROUNDS else rows, rows))
-        more = _alike(docs, distinct, pairs)
+        more = _alike(docs, distinct, _pairs(first if k < LEADER_ROUNDS else rows, rows))
         if not more.isEmpty():
             links = store(links.unionByName(more))
             labels = store(connected_components(links, []))
