@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,33 @@ def map_text(
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def map_arrays(
+    df: DataFrame, fn: Callable[..., list[pa.Array]], out: str, inputs: tuple[str, ...], keep_inputs: bool = False
+) -> DataFrame:
+    """As ``map_text``, but ``fn`` gets and gives Arrow arrays, for columns of long lists."""
+    ship_package(df.sparkSession)
+    kept = [c for c in df.columns if keep_inputs or c not in inputs]
+    added = StructType.fromDDL(out)
+    schema = StructType([df.schema[c] for c in kept] + added.fields)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(*[batch.column(c) for c in inputs])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in one array, and the number of values of every row (0 for NULL)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The other way round."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))

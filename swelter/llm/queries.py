@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import decontam, host_rules, html_crf, language_spans, line_runs, mixing, packing, quality_fm, revisits, simhash
+from swelter.llm import (
+    collocations, decontam, host_rules, html_crf, kmeans_tree, language_spans, line_runs, mixing, packing, quality_fm, revisits, simhash, token_align,
+)
 from swelter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +81,18 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("n_kept_chars"), F.md5("kept").alias("kept_md5")
     )
+
+
+@_query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op12_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
