@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,10 +77,32 @@ def map_text(
     return df.mapInArrow(run, schema)
 
 
+#: Characters or list values of a slice of a batch in ``map_arrays``; a longer row is a slice of its own.
+SLICE = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    if pa.types.is_list(column.type):
+        sizes = column.value_lengths()
+    elif pa.types.is_string(column.type):
+        sizes = pc.binary_length(column)
+    else:
+        yield batch
+        return
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_arrays(
     df: DataFrame, fn: Callable[..., list[pa.Array]], out: str, inputs: tuple[str, ...], keep_inputs: bool = False
 ) -> DataFrame:
-    """As ``map_text``, but ``fn`` gets and gives Arrow arrays, for columns of long lists."""
+    """As ``map_text``, but ``fn`` gets and gives Arrow arrays, for columns of long lists. It is
+    called for slices of a batch of about ``SLICE`` characters or values of the first input."""
     ship_package(df.sparkSession)
     kept = [c for c in df.columns if keep_inputs or c not in inputs]
     added = StructType.fromDDL(out)
@@ -88,8 +111,9 @@ def map_arrays(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(*[batch.column(c) for c in inputs])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=names)
+            for part in _slices(batch, batch.column(inputs[0])):
+                made = fn(*[part.column(c) for c in inputs])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=names)
 
     return df.mapInArrow(run, schema)
 

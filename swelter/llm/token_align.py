@@ -33,8 +33,7 @@ from swelter.session import ship_package
 #: Vocabulary files: A is a byte-level BPE, B one of pieces with byte fallback that puts a space before the text.
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of text aligned at once, and pair codes a task holds before it counts them.
-CHUNK_CHARS = 4_000_000
+#: Pair codes a task holds before it counts them.
 FLUSH_CODES = 4_000_000
 #: Pairs that are sent to all tasks, at 17 bytes each.
 HEAD = 1 << 18
@@ -142,26 +141,13 @@ def align_tokens(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCA
     texts that a side does not spell byte by byte (it normalises them), have empty arrays. Repeated
     rows are aligned each; an empty table gives an empty result; other columns are ignored.
 
-    Strings of special tokens are plain text. A text is aligned whole, in a chunk with others of
-    ``CHUNK_CHARS`` characters together, so memory follows the longest text.
+    Strings of special tokens are plain text. A text is aligned whole, so memory follows the longest.
     """
     ship_package(docs.sparkSession)
 
     def align(column: pa.Array) -> list[pa.Array]:
         pair = load_pair(path_a, path_b)
-        texts = column.to_pylist()
-        parts: list[list] = [[] for _ in range(6)]
-        lo = 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHUNK_CHARS):
-                chars += len(texts[hi] or "")
-                hi += 1
-            for part, made in zip(parts, _align_chunk(texts[lo:hi], pair)):
-                part.append(made)
-            lo = hi
-        empty = [(np.empty(0, np.int32), np.empty(0, np.int64))]
-        return [lists(*(np.concatenate(x) for x in zip(*(part or empty)))) for part in parts]
+        return [lists(*made) for made in _align_chunk(column.to_pylist(), pair)]
 
     names = ("a_ids", "b_ids", "over_a", "over_b", "link_a", "link_b")
     return map_arrays(pick(docs, *keep, "text"), align, ", ".join(f"{n} array<int>" for n in names), ("text",))
