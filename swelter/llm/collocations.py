@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swelter.llm.common import flat, lists, map_arrays, pick, store
+from swelter.llm.common import flat, lists, map_arrays, pick, slices, store
 from swelter.session import ship_package
 
 #: Least number of occurrences of a phrase, most words of it, phrases reported per language.
@@ -44,8 +44,8 @@ BITS = 1 << 24
 TILE = 1024
 DENSE = 1 / 64
 #: Runs, and different words, a task holds before it hands on their counts.
-FLUSH = 8_000_000
-WORDS_HELD = 500_000
+FLUSH = 3_000_000
+WORDS_HELD = 200_000
 
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
@@ -142,7 +142,7 @@ def encode(docs: DataFrame, words: Ranks) -> DataFrame:
     k-th hash of ``rare``, the words beyond the ranks that may be frequent. Columns ids, rare."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(langs: pa.Array, texts: pa.Array) -> list[pa.Array]:
+    def run(texts: pa.Array, langs: pa.Array) -> list[pa.Array]:
         seen: dict[str, dict[bytes, int]] = {}
         ids, rare, sizes, rare_sizes = [], [], [], []
         for lang, text in zip(langs.to_pylist(), texts.to_pylist()):
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, words: Ranks) -> DataFrame:
             rare_sizes.append(len(hashes))
         return [lists(np.concatenate([*ids, np.empty(0, np.int32)]), np.array(sizes)), lists(np.concatenate([*rare, np.empty(0, np.int64)]), np.array(rare_sizes))]
 
-    return map_arrays(docs.select("lang", "text"), run, "ids array<int>, rare array<bigint>", ("lang", "text"))
+    return map_arrays(docs.select("lang", "text"), run, "ids array<int>, rare array<bigint>", ("text", "lang"))
 
 
 # --- tiles ---
@@ -231,7 +231,7 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
             return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in whole.T.copy()] + [pa.array(n.astype(np.int64))], names=[*names, "n"])
 
         count = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.column("ids"))):
             (ids, sizes), (rare, rare_sizes) = flat(batch.column("ids")), flat(batch.column("rare"))
             if not len(ids):
                 continue

@@ -77,11 +77,12 @@ def map_text(
     return df.mapInArrow(run, schema)
 
 
-#: Characters or list values of a slice of a batch in ``map_arrays``; a longer row is a slice of its own.
+#: Characters or list values of a slice of a batch; a longer row is a slice of its own.
 SLICE = 1 << 20
 
 
-def _slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``SLICE`` characters or values of the column."""
     if pa.types.is_list(column.type):
         sizes = column.value_lengths()
     elif pa.types.is_string(column.type):
@@ -111,7 +112,7 @@ def map_arrays(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, batch.column(inputs[0])):
+            for part in slices(batch, batch.column(inputs[0])):
                 made = fn(*[part.column(c) for c in inputs])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=names)
 
