@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
         if args.cache:
             failed += ingest_cache(store, args.cache, args.cache_glob).count()
         if failed:
-            print(f"{failed} files could not be read; the last list is {store.path('failed_files')}")
+            print(f"{failed} files could not be read; {store.path('source_file')} lists them with the errors")
         build(store, args.pct, days=read_days(spark, args.days) if args.days else None)
     elif args.job == "detect":
         from swelter.plans.detect import detect, region_area

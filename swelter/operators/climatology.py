@@ -23,12 +23,14 @@ MEASURE_COLUMNS = {"hi": "hi", "t": "t2"}
 
 
 def derive_cell_day(raw: DataFrame) -> DataFrame:
-    """``(d, r, c, t, td)`` in Celsius -> ``cell_day`` with heat index and temperature as floats."""
+    """``(d, r, c, t, td)`` in Celsius -> ``cell_day`` with heat index and temperature as floats.
+    The time of the file (``as_of``) is kept where it is given."""
     t, td = nan_to_null(F.col("t").cast("double")), nan_to_null(F.col("td").cast("double"))
     return raw.select(
         "d", "r", "c",
         heat_index_c(t, relative_humidity(td, t)).cast("float").alias("hi"),
         t.cast("float").alias("t2"),
+        *[c for c in raw.columns if c == "as_of"],
     )
 
 

@@ -22,7 +22,7 @@ from swelter.functions.numeric import RASTER_NODATA
 from swelter.session import ship_package
 
 BLOCK_ROWS = 64
-RASTER_DDL = "path string, d date, r int, c int, v float, error string"
+PAIR_DDL = "path string, d date, r int, c int, t float, td float, error string, kind string, as_of timestamp"
 CACHE_DDL = "path string, d date, r int, c int, hi float, t2 float, error string"
 
 
@@ -51,38 +51,22 @@ def decode_bil(header: dict[str, str], body: bytes) -> np.ndarray:
     return out
 
 
-def decode_geotiff(body: bytes) -> np.ndarray:
-    from rasterio.io import MemoryFile  # optional dependency
-
-    with MemoryFile(body) as mem, mem.open() as src:
-        out = src.read(1).astype(np.float64)
-    out[out == RASTER_NODATA] = np.nan
-    return out
-
-
 def decode_archive(body: bytes) -> np.ndarray:
-    """First ``.bil`` of a zip in name order, else its first ``.tif``."""
+    """First ``.bil`` of a zip in name order."""
     with zipfile.ZipFile(io.BytesIO(body)) as z:
-        names = sorted(z.namelist())
-        for ending in (".bil", ".tif"):
-            hits = [n for n in names if n.lower().endswith(ending)]
-            if hits and ending == ".bil":
-                header = bil_header(z.read(hits[0][:-4] + ".hdr").decode("ascii", "ignore"))
-                return decode_bil(header, z.read(hits[0]))
-            if hits:
-                return decode_geotiff(z.read(hits[0]))
-    raise FileNotFoundError("no .bil or .tif raster in the archive")
+        hits = sorted(n for n in z.namelist() if n.lower().endswith(".bil"))
+        if not hits:
+            raise FileNotFoundError("no .bil raster in the archive")
+        return decode_bil(bil_header(z.read(hits[0][:-4] + ".hdr").decode("ascii", "ignore")), z.read(hits[0]))
 
 
 def decode_raster(path: str, body: bytes, header: bytes | None = None) -> np.ndarray:
-    """A zip archive, a loose ``.bil`` with the header that lies beside it, or a GeoTIFF."""
+    """A zip archive, or a loose ``.bil`` with the header that lies beside it."""
     if path.lower().endswith(".zip"):
         return decode_archive(body)
-    if path.lower().endswith(".bil"):
-        if header is None:
-            raise FileNotFoundError("no .hdr beside the .bil")
-        return decode_bil(bil_header(header.decode("ascii", "ignore")), body)
-    return decode_geotiff(body)
+    if header is None:
+        raise FileNotFoundError("no .hdr beside the .bil")
+    return decode_bil(bil_header(header.decode("ascii", "ignore")), body)
 
 
 def decode_cache(path: str, body: bytes, tvar: str) -> tuple[np.ndarray, np.ndarray]:
@@ -118,44 +102,99 @@ def _blocks(path: str, day: date, arrays: dict[str, np.ndarray]) -> Iterator[pa.
         )
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str, glob: str, kind: str) -> DataFrame:
+    """(kind, path, length, modified, d) of the files of a folder; none of them is opened."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return found.select(F.lit(kind).alias("kind"), "path", "length", F.col("modificationTime").alias("modified")).withColumn("d", path_day())
+
+
+def paths_of(files: DataFrame) -> list[str]:
+    """The names of some files; one per day and kind at most, so bounded by the calendar."""
+    return [x.path for x in files.select("path").distinct().collect()]
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Path, content and, for loose .bil files, the content of the .hdr with the same name."""
     ship_package(spark)
-    load = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    files = load(glob).select("path", "content")
-    if not glob.lower().endswith(".bil"):
-        return files.withColumn("header", F.lit(None).cast("binary"))
+    load = lambda names: spark.read.format("binaryFile").load(names).select("path", "content")
+    loose = [p for p in paths if p.lower().endswith(".bil")]
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
-    headers = load(glob[:-4] + ".hdr").select(stem.alias("stem"), F.col("content").alias("header"))
-    return files.withColumn("stem", stem).join(headers, "stem", "left").select("path", "content", "header")
-
+    beside = [p[:-4] + ".hdr" for p in loose]
+    held = []
+    for folder in sorted({p.rpartition("/")[0] for p in beside}):
+        held += [x.path for x in spark.read.format("binaryFile").option("pathGlobFilter", "*.hdr").load(folder).select("path").collect()]
+    wanted = sorted(set(beside) & set(held))
+    if not wanted:
+        return load(paths).withColumn("header", F.lit(None).cast("binary"))
+    headers = load(wanted).select(stem.alias("stem"), F.col("content").alias("header"))
+    return load(paths).withColumn("stem", stem).join(headers, "stem", "left").select("path", "content", "header")
+
+
+def _failed(path: str, exc: Exception, kind: str | None, names: tuple[str, ...]) -> pa.RecordBatch:
+    given = {} if kind is None else {"kind": pa.array([kind])}
+    return pa.RecordBatch.from_pydict(
+        {
+            "path": pa.array([path]), "d": pa.nulls(1, pa.date32()), "r": pa.nulls(1, pa.int32()), "c": pa.nulls(1, pa.int32()),
+            **{n: pa.nulls(1, pa.float32()) for n in names}, "error": pa.array([f"{type(exc).__name__}: {exc}"]), **given,
+        }
+    )
+
+
+def read_daily_cache(spark: SparkSession, paths: list[str], tvar: str) -> DataFrame:
+    """``(path, d, r, c, hi, t2, error)`` from daily caches of an earlier installation."""
 
-def _decode(files: DataFrame, decoder, names: tuple[str, ...], ddl: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for path, body, header in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("header")):
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    yield from _blocks(path, day_of(path), dict(zip(names, decoder(path, body.as_py(), header.as_py()))))
+                    yield from _blocks(path, day_of(path), dict(zip(("hi", "t2"), decode_cache(path, body.as_py(), tvar))))
                 except Exception as exc:  # noqa: BLE001  reported as a row
-                    empty = {n: pa.nulls(1, pa.float32()) for n in names}
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "path": pa.array([path]), "d": pa.nulls(1, pa.date32()), "r": pa.nulls(1, pa.int32()),
-                            "c": pa.nulls(1, pa.int32()), **empty, "error": pa.array([f"{type(exc).__name__}: {exc}"]),
-                        }
-                    )
+                    yield _failed(path, exc, None, ("hi", "t2"))
 
-    return files.mapInArrow(run, ddl)
+    return _files(spark, paths).select("path", "content").mapInArrow(run, CACHE_DDL)
 
 
-def read_rasters(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """``(path, d, r, c, v, error)`` for every raster file; missing cells are NULL."""
-    return _decode(_files(spark, path, glob), lambda p, b, h: (decode_raster(p, b, h),), ("v",), RASTER_DDL)
+def read_pairs(spark: SparkSession, pairs: DataFrame, glob: str = "*.zip") -> DataFrame:
+    """``(path, d, r, c, t, td, error, kind, as_of)``: both rasters of a day, decoded in one task.
 
+    ``pairs``: d, t_path, td_path and the times of the files; a day that lacks one of the two
+    gives nothing. The files themselves are brought together by day, never their cells. A file
+    that cannot be read gives a row with its kind and error.
+    """
+    paths = paths_of(pairs.select("t_path").unionByName(pairs.select(F.col("td_path").alias("t_path"))).where("t_path is not null").select(F.col("t_path").alias("path")))
+    files = _files(spark, paths) if paths else spark.createDataFrame([], "path string, content binary, header binary")
+    side = lambda k: files.toDF(f"{k}_path", f"{k}_body", f"{k}_header")
+    both = pairs.join(side("t"), "t_path", "left").join(side("td"), "td_path", "left")
+    columns = [f"{k}_{x}" for k in ("t", "td") for x in ("path", "body", "header", "modified")]
 
-def read_daily_cache(spark: SparkSession, path: str, tvar: str, glob: str = "HI_*.npz") -> DataFrame:
-    """``(path, d, r, c, hi, t2, error)`` from daily caches of an earlier installation."""
-    return _decode(_files(spark, path, glob), lambda p, b, _: decode_cache(p, b, tvar), ("hi", "t2"), CACHE_DDL)
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = {c: batch.column(c)[row].as_py() for c in columns}
+                images = {}
+                for kind in ("t", "td"):
+                    path = x[f"{kind}_path"]
+                    if path is None:
+                        continue
+                    try:
+                        images[kind] = decode_raster(path, x[f"{kind}_body"], x[f"{kind}_header"])
+                    except Exception as exc:  # noqa: BLE001  reported as a row
+                        yield _with_time(_failed(path, exc, kind, ("t", "td")), None)
+                if len(images) < 2:
+                    continue
+                shape = [min(n) for n in zip(*(i.shape for i in images.values()))]
+                parts = {k: i[: shape[0], : shape[1]] for k, i in images.items()}
+                when = max(x["t_modified"], x["td_modified"])
+                for block in _blocks(x["t_path"], day_of(x["t_path"]), parts):
+                    named = pa.RecordBatch.from_arrays([*block.columns, pa.nulls(block.num_rows, pa.string())], names=[*block.schema.names, "kind"])
+                    yield _with_time(named, when)
+
+    return both.select(*columns).mapInArrow(run, PAIR_DDL)
+
+
+def _with_time(batch: pa.RecordBatch, when: datetime | None) -> pa.RecordBatch:
+    times = pa.array([when] * batch.num_rows, pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays([*batch.columns, times], names=[*batch.schema.names, "as_of"])
 
 
 def path_day() -> Column:
@@ -166,19 +205,13 @@ def path_day() -> Column:
 
 
 def good_cells(df: DataFrame) -> DataFrame:
-    return df.where("error is null").drop("path", "error")
+    return df.where("error is null").drop("path", "error", "kind")
 
 
 def failures(df: DataFrame) -> DataFrame:
     return df.where("error is not null").select("path", "error")
 
 
-def paired_cells(t: DataFrame, td: DataFrame) -> DataFrame:
-    """Temperature and dew point side by side, ``(d, r, c, t, td)``."""
-    left = good_cells(t).withColumnRenamed("v", "t")
-    return left.join(good_cells(td).withColumnRenamed("v", "td"), ["d", "r", "c"]).where(F.col("t").isNotNull())
-
-
 def header_axes(header: dict[str, str]) -> tuple[tuple[int, float, float], tuple[int, float, float]]:
     """(n, outer edge, step) of rows and columns from a BIL header with cell centres."""
     dx, dy = float(header["XDIM"]), float(header["YDIM"])
@@ -189,9 +222,8 @@ def header_axes(header: dict[str, str]) -> tuple[tuple[int, float, float], tuple
 
 def sample_header(spark: SparkSession, folder: str, glob: str) -> dict[str, str]:
     """Header of the first raster in name order that has one; files are small and tried one by one."""
-    files = _files(spark, folder, glob)
-    for row in files.select("path").orderBy("path").toLocalIterator():
-        found = files.where(F.col("path") == row.path).first()
+    for path in sorted(paths_of(list_files(spark, folder, glob, "t"))):
+        found = _files(spark, [path]).first()
         if found.header is not None:
             return bil_header(bytes(found.header).decode("ascii", "ignore"))
         try:

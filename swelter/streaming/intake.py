@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from swelter.plans.build import CELLS, add_cells, build
@@ -23,9 +24,9 @@ def watch_cell_days(
 ) -> StreamingQuery:
     """Take all Parquet day files now in ``path``, then build once, and return the ended stream.
 
-    Cells already stored are ignored, so a batch that is replayed after a failure changes
-    nothing, and a day may be spread over files and batches: the size of a batch does not
-    change the result.
+    Cells that are stored as they come change nothing, so a batch may be replayed after a failure,
+    and a day may be spread over files and batches: the size of a batch does not change the
+    result. Of different values for a cell those of the later file stay.
     """
     reader = store.spark.readStream.schema(DAY_FILE_DDL)
     if max_files:
@@ -33,10 +34,10 @@ def watch_cell_days(
 
     def take(batch: DataFrame, _epoch: int) -> None:
         with temporary_steps(store.spark):
-            add_cells(store, batch.select(*CELLS))
+            add_cells(store, batch)
 
     stream = (
-        reader.parquet(path)
+        reader.parquet(path).select(*CELLS, F.col("_metadata.file_modification_time").alias("as_of"))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

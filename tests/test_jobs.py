@@ -323,24 +323,29 @@ def rasters_shape():
     return GridShape(NY, NX)
 
 
+def warmer(store):
+    """The same days with other exceedances."""
+    from swelter.plans.build import put_exceedances
+
+    mag = store.read("mag").withColumn("mag", F.col("mag") + F.lit(1).cast("float"))
+    put_exceedances(store, mag, store.read("mag_calendar"))
+
+
 def test_reruns_replace_what_they_find(spark, tmp_path):
     """Stricter parameters leave no old row behind; changed exceedances are detected again."""
     from dataclasses import replace
 
-    from swelter.session import cut_lineage
-
     store = filled(spark, tmp_path, cells_of(MAY))
     build(store, [80], ["t"])
     small = DetectParams(region_area_km2=16.0, pixel_size_km=1.0, min_area_km2=1, hull_gate_km2=1, min_hot_cells=1, min_duration=1, tile=14)
     assert detect(store, small, [80], ["t"]) and not detect(store, small, [80], ["t"])
     first = store.read("hw_day").count()
-    mag = store.read("mag")
-    store.write("mag", cut_lineage(mag.withColumn("mag", (mag.mag + 1).cast("float"))))
+    warmer(store)
     assert first > 0 and detect(store, replace(small, hull_gate_km2=1e9), [80], ["t"])
     for name in ("hw_day", "excd", "cluster_event", "event_summary"):
         assert store.read(name).count() == 0
     made = store.load_manifest("detect_t_80")
-    store.write("mag", cut_lineage(store.read("mag").withColumn("mag", F.col("mag") + F.lit(1).cast("float"))))
+    warmer(store)
     assert detect(store, replace(small, hull_gate_km2=1e9), [80], ["t"]) and store.load_manifest("detect_t_80") != made
 
 
