@@ -44,7 +44,7 @@ BITS = 1 << 24
 TILE = 1024
 DENSE = 1 / 64
 #: Runs, and different words, a task holds before it hands on their counts.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 WORDS_HELD = 200_000
 
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -219,9 +219,11 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            rows, part, rank_l, rank_r = (np.concatenate(x) for x in zip(*held))
-            left, others_l = _ids(part, rank_l, len(shorter.known))
+            rows, rank_l, rank_r = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            left, others_l = _ids(run_hash(rows[:, :-1]), rank_l, len(shorter.known))
             right, others_r = _ids(rows[:, -1], rank_r, len(words.known))
+            del rank_l, rank_r
             l, r, n = count_tiles(left, right)
             # words of a run: those of any occurrence of its first part, and its last word
             first = np.full(len(shorter.known) + len(others_l), -1)
@@ -251,15 +253,14 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
             whole &= of[:end] == of[size - 1 :]
             at = np.flatnonzero(whole)
             rows = np.column_stack([h[at + k] for k in range(size)])
-            part = run_hash(rows[:, :-1])
-            rank_l = shorter.of(part)
+            rank_l = shorter.of(run_hash(rows[:, :-1]))
             keep = (rank_l > -2) & (shorter.of(run_hash(rows[:, 1:])) > -2)
             rank_r = np.where(ids[at + size - 1] >= 0, ids[at + size - 1], -1)
-            held.append((rows[keep], part[keep], rank_l[keep], rank_r[keep]))
+            held.append((rows[keep], rank_l[keep], rank_r[keep]))
             count += int(keep.sum())
             if count > FLUSH // size:
                 yield out()
-                held, count = [], 0
+                count = 0
         if count:
             yield out()
 
