@@ -188,18 +188,41 @@ def _merge_history(meetings: DataFrame) -> DataFrame | None:
     return history
 
 
+HISTORY_DDL = "measure string, pct double, gone bigint, into bigint, t bigint"
+
+
+def resolve_events(linked: DataFrame, history: DataFrame) -> DataFrame:
+    """Add ``event_id_resolved``: the event that ``event_id`` has become in the end."""
+    last = connected_components(history, SERIES_KEYS, "gone", "into")
+    last = last.select(*SERIES_KEYS, F.col("node").alias("event_id"), F.col("comp").alias("_root"))
+    return linked.join(last, [*SERIES_KEYS, "event_id"], "left").withColumn("event_id_resolved", F.coalesce("_root", "event_id")).drop("_root")
+
+
 def link_events(clusters: DataFrame, overlap: DataFrame) -> DataFrame:
-    """Event id of every cluster.
+    """Event id of every cluster, see ``link_clusters``; ``event_id_resolved`` also applies
+    merges of later days."""
+    return resolve_events(*link_clusters(clusters, overlap))
+
+
+def link_clusters(clusters: DataFrame, overlap: DataFrame, seeds: DataFrame | None = None, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Event id of every cluster, and when and into which older event each event ends (gone, into, t).
 
     A cluster that touches none of the last kept days starts a new event, otherwise it takes
     the smallest id among the events it touches, which merges them from that day on. Ids
     given on earlier days stay as they were. Put differently: the id is the oldest event
     connected to the cluster through clusters up to its own day, which is what this computes,
-    without a day-by-day loop. ``event_id_resolved`` also applies merges of later days.
+    without a day-by-day loop.
 
     ``clusters``: series keys, ``pos, cluster_idx``; ``overlap`` as from ``cluster_overlap``.
+    Tracking can go on from earlier days: ``seeds`` are the clusters of the last kept days before
+    (also ``root``: what their event had become by then), ``given`` the number of events there
+    (series keys, ``n``). The history is then that of the new days.
     """
-    nodes = clusters.withColumn("node", _node("pos", "cluster_idx"))
+    own = clusters.withColumn("node", _node("pos", "cluster_idx"))
+    nodes = own
+    if seeds is not None:
+        seeds = cut_lineage(seeds.withColumn("node", _node("pos", "cluster_idx")))
+        nodes = own.select(*SERIES_KEYS, "node", "pos", "cluster_idx").unionByName(seeds.select(*SERIES_KEYS, "node", "pos", "cluster_idx"))
     edges = cut_lineage(
         overlap.select(
             *SERIES_KEYS, _node("prev_pos", "prev_idx").alias("a"), _node("pos", "cluster_idx").alias("b"),
@@ -210,7 +233,12 @@ def link_events(clusters: DataFrame, overlap: DataFrame) -> DataFrame:
     births = nodes.join(
         origin.where("up = node").select(*SERIES_KEYS, "node"), [*SERIES_KEYS, "node"], "left_semi"
     )
+    if seeds is not None:
+        births = births.join(seeds.select(*SERIES_KEYS, "node"), [*SERIES_KEYS, "node"], "left_anti")
     number = _birth_numbers(births)
+    if seeds is not None:
+        later = number.join(given, SERIES_KEYS, "left").select(*SERIES_KEYS, "node", (F.col("birth") + F.coalesce("n", F.lit(0))).alias("birth"))
+        number = later.unionByName(seeds.select(*SERIES_KEYS, "node", F.col("root").alias("birth")))
     born = cut_lineage(
         origin.join(number.withColumnRenamed("node", "up"), [*SERIES_KEYS, "up"]).select(*SERIES_KEYS, "node", "birth")
     )
@@ -223,10 +251,9 @@ def link_events(clusters: DataFrame, overlap: DataFrame) -> DataFrame:
         .groupBy(*SERIES_KEYS, F.greatest("ba", "bb").alias("x"), F.least("ba", "bb").alias("y"))
         .agg(F.min("t").alias("t"))
     )
-    final = connected_components(meetings, SERIES_KEYS, "x", "y")
     history = _merge_history(meetings)
 
-    now = nodes.join(born, [*SERIES_KEYS, "node"]).withColumn("event_id", F.col("birth"))
+    now = own.join(born, [*SERIES_KEYS, "node"]).withColumn("event_id", F.col("birth"))
     if history is not None:
         step = history.select(*SERIES_KEYS, F.col("gone").alias("event_id"), "into", F.col("t").alias("_t"))
         while True:
@@ -236,12 +263,8 @@ def link_events(clusters: DataFrame, overlap: DataFrame) -> DataFrame:
             now = now.withColumn("event_id", F.when(passed, F.col("into")).otherwise(F.col("event_id"))).drop("into", "_t")
             if not moved:
                 break
-    last = final.select(*SERIES_KEYS, F.col("node").alias("birth"), F.col("comp").alias("_root"))
-    return (
-        now.join(last, [*SERIES_KEYS, "birth"], "left")
-        .withColumn("event_id_resolved", F.coalesce("_root", "birth"))
-        .drop("birth", "_root", "node")
-    )
+    ended = meetings.sparkSession.createDataFrame([], HISTORY_DDL) if history is None else cut_lineage(history.select(*SERIES_KEYS, "gone", "into", F.col("t").cast("bigint").alias("t")))
+    return now.drop("birth", "node"), ended
 
 
 def event_summary(linked: DataFrame) -> DataFrame:
@@ -253,21 +276,49 @@ def event_summary(linked: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tracking:
-    """``linked``: event id per cluster and day; ``dynamics``: one row per kept day."""
+    """``linked``: event id per cluster and day; ``dynamics``: one row per kept day; ``history``:
+    which event ends in which older one, and at what position."""
 
     linked: DataFrame
     dynamics: DataFrame
+    history: DataFrame
 
 
-def track(days: DataFrame, clusters: DataFrame, runs: DataFrame) -> Tracking:
+def track(
+    days: DataFrame, clusters: DataFrame, runs: DataFrame, since: DataFrame | None = None, known: DataFrame | None = None, history: DataFrame | None = None
+) -> Tracking:
     """Overlap, event ids and day statistics for kept days.
 
     ``days``: series keys, ``d, pos``; ``clusters``: day keys, ``cluster, cluster_idx, lat, lon``;
     ``runs``: hull runs per cluster.
+
+    With ``since`` (series keys, ``first``: the first position to be tracked anew) only days from
+    there on are linked, on to what is ``known`` of the clusters before (series keys, ``pos,
+    cluster_idx, event_id``) and their ``history``; the result then has those days alone.
     """
     keys = [*SERIES_KEYS, "d"]
-    placed = cut_lineage(clusters.join(days.select(*keys, "pos"), keys))
+    placed = clusters.join(days.select(*keys, "pos"), keys)
+    if since is not None:
+        placed = placed.join(since, SERIES_KEYS).where(F.col("pos") >= F.col("first") - LINK_DAYS)
+    placed = cut_lineage(placed)
     hull = runs.join(placed.select(*keys, "cluster", "cluster_idx", "pos"), [*keys, "cluster"])
-    overlap = cut_lineage(cluster_overlap(hull))
-    linked = link_events(placed.select(*keys, "pos", "cluster_idx"), overlap)
-    return Tracking(linked, day_dynamics(days, placed, overlap))
+    overlap = cluster_overlap(hull)
+    if since is None:
+        overlap = cut_lineage(overlap)
+        linked, ended = link_clusters(placed.select(*keys, "pos", "cluster_idx"), overlap)
+        return Tracking(resolve_events(linked, ended), day_dynamics(days, placed, overlap), ended)
+
+    overlap = cut_lineage(overlap.join(since, SERIES_KEYS).where(F.col("pos") >= F.col("first")).drop("first"))
+    before = known.join(since, SERIES_KEYS).where(F.col("pos") < F.col("first"))
+    past = cut_lineage(history.join(since, SERIES_KEYS).where(F.col("t") < F.col("first")).drop("first"))
+    given = before.groupBy(*SERIES_KEYS).agg(F.max("event_id").alias("n"))
+    near = before.where(F.col("pos") >= F.col("first") - LINK_DAYS).select(*SERIES_KEYS, "pos", "cluster_idx", "event_id")
+    seeds = resolve_events(near, past).withColumnRenamed("event_id_resolved", "root").drop("event_id")
+    own = placed.where(F.col("pos") >= F.col("first"))
+    linked, ended = link_clusters(own.select(*keys, "pos", "cluster_idx"), overlap, seeds, given)
+    # the change of the first day is against the day before it
+    late = days.join(since, SERIES_KEYS)
+    dynamics = day_dynamics(late.where(F.col("pos") >= F.col("first") - 1).drop("first"), placed.where(F.col("pos") >= F.col("first") - 1), overlap)
+    dynamics = dynamics.join(since, SERIES_KEYS).where(F.col("pos") >= F.col("first")).drop("first")
+    whole = cut_lineage(past.unionByName(ended))
+    return Tracking(linked, dynamics, whole)
