@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 #: Elements that stand in a line of text; all other elements end a block.
 INLINE = frozenset(
@@ -15,69 +16,130 @@ INLINE = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select datalist head title".split())
+#: Elements that may stand in a head; any other one ends it.
+HEAD_PARTS = frozenset("html head title base link meta style script noscript template".split())
 #: Content that is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that a new one of the same group closes.
 SIBLINGS = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option", "p": "p"}
+#: Elements that hold the parts of a page.
+HOLDERS = frozenset("article main section aside nav header footer form div td body".split())
 LISTS = frozenset("ul ol dl table tbody thead tfoot select".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # a quote opens a value only behind an equals sign
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)",
     re.DOTALL,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s>]+)")
 _PARTS = re.compile(r"[A-Za-z]+?(?=[A-Z]|[^A-Za-z]|$)")
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass
+class _Open:
+    """An open element. What it shares with its parent is the parent's own, so depth costs nothing."""
+
+    tag: str
+    parent: "_Open | None"
+    tags: frozenset[str]
+    names: frozenset[str]
+    near: tuple[str, ...]
+    holder: str | None
+    hides: bool
+
+    @classmethod
+    def under(cls, parent: "_Open | None", tag: str, names: list[str], hides: bool) -> "_Open":
+        tags, known, near, holder = (parent.tags, parent.names, parent.near, parent.holder) if parent else (frozenset(), frozenset(), (), None)
+        return cls(
+            tag, parent, tags if tag in tags else tags | {tag}, known if known.issuperset(names) else known.union(names),
+            tuple(names) if names else near, tag if tag in HOLDERS else holder, hides,
+        )
+
+
 @dataclass
 class Block:
+    """Text of a block and the element it stands in, the innermost of its ancestors."""
+
     text: str
-    path: list[str] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)
+    inside: _Open | None = None
     linked: int = 0
     links: int = 0
     fields: int = 0
-    near: list[str] = field(default_factory=list)
 
+    @property
+    def tag(self) -> str | None:
+        return self.inside.tag if self.inside else None
 
-@dataclass
-class _Open:
-    tag: str
-    names: list[str]
+    @property
+    def tags(self) -> frozenset[str]:
+        return self.inside.tags if self.inside else frozenset()
+
+    @property
+    def names(self) -> frozenset[str]:
+        return self.inside.names if self.inside else frozenset()
 
+    @property
+    def near(self) -> tuple[str, ...]:
+        return self.inside.near if self.inside else ()
 
-def leaf_blocks(page: str | None) -> list[Block]:
+    @property
+    def holder(self) -> str | None:
+        """The innermost ancestor that says what part of a page this is."""
+        return self.inside.holder if self.inside else None
+
+    @property
+    def path(self) -> list[str]:
+        """Tags of all ancestors, the outermost first."""
+        out, at = [], self.inside
+        while at:
+            out.append(at.tag)
+            at = at.parent
+        return out[::-1]
+
+
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
     """Blocks with text, in page order; white space inside a block is one space.
 
     Broken markup is read as browsers do as far as text goes: unclosed elements end with
-    their parent, stray end tags are ignored, an unclosed comment or script hides the rest.
+    their parent, stray end tags are ignored, an unclosed comment or script hides the rest. Text
+    and elements that may not stand in a head end it. Block elements with the attribute hidden are
+    not text. ``known``: the names worth keeping; all are kept without it, and then memory grows
+    with the square of the depth where every level has a name of its own.
     """
     page = page or ""
     out: list[Block] = []
     stack: list[_Open] = []
     pieces: list[str] = []
     hidden = 0
+    opened: Counter[str] = Counter()
     state = {"links": 0, "linked": 0, "fields": 0, "in_link": 0}
 
     def close(depth: int) -> None:
         nonlocal hidden
-        hidden -= sum(o.tag in HIDDEN for o in stack[depth:])
+        for o in stack[depth:]:
+            hidden -= o.hides
+            opened[o.tag] -= 1
         del stack[depth:]
 
     def flush() -> None:
         if pieces:
             text = _SPACES.sub(" ", "".join(pieces)).strip()
             if text:
-                names = [n for o in stack for n in o.names]
-                near = next((o.names for o in reversed(stack) if o.names), [])
                 linked = min(state["linked"], len(text))
-                out.append(Block(text, [o.tag for o in stack], names, linked, state["links"], state["fields"], near))
+                out.append(Block(text, stack[-1] if stack else None, linked, state["links"], state["fields"]))
             pieces.clear()
         state.update(links=0, linked=0, fields=0)
 
+    def end_head() -> None:
+        if stack and stack[-1].tag == "head":
+            close(len(stack) - 1)
+
     def add(raw: str) -> None:
+        if hidden and raw.strip():
+            end_head()
         if raw and not hidden:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -105,13 +167,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 add(" ")
                 continue
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None) if opened[tag] else None
             if depth is None:
                 flush()
                 continue
             flush()
             close(depth)
             continue
+        if tag not in HEAD_PARTS:
+            end_head()
         if tag in INLINE:
             if tag == "a" and "href" in found.group(3):
                 state["links"] += 1
@@ -126,8 +190,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         state["in_link"] = 0
         if tag in EMPTY:
             continue
-        if tag == "body":
-            close(next((k for k, o in enumerate(stack) if o.tag == "head"), len(stack)))
+        if tag == "body" and opened["head"]:
+            close(next(k for k, o in enumerate(stack) if o.tag == "head"))
         group = SIBLINGS.get(tag)
         for k in range(len(stack) - 1, -1, -1):
             if group and SIBLINGS.get(stack[k].tag) == group:
@@ -147,7 +211,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if found.group(3).rstrip().endswith("/") and tag in ("path", "use", "circle", "rect", "line", "g"):
             continue
         names = [p.lower() for v in _NAMED.findall(found.group(3)) for p in _PARTS.findall(v)] if "=" in found.group(3) else []
-        stack.append(_Open(tag, names))
-        hidden += tag in HIDDEN
+        if known is not None:
+            names = [n for n in names if n in known]
+        hides = tag in HIDDEN or ("hidden" in found.group(3).lower() and "hidden" in _VALUE.sub(" ", found.group(3)).lower().split())
+        stack.append(_Open.under(stack[-1] if stack else None, tag, names, hides))
+        opened[tag] += 1
+        hidden += hides
     flush()
     return out

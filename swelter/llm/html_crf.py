@@ -9,7 +9,7 @@ Viterbi, page by page inside the tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,20 +24,20 @@ TRAINING_PAGES = 800
 EPOCHS = 5
 RATE = 0.3
 DECAY = 1e-4
-_HOLDERS = frozenset("article main section aside nav header footer form div td body".split())
+_WHOLE = (None, "html", "body")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for every block of a page."""
-    holders = [t for t in ("article", "main") if any(t in b.path for b in blocks)]
+    """Names of the features that hold for every block of a page; the same whether or not a page
+    writes the tags of html and body, which may be left out."""
+    holders = [t for t in ("article", "main") if any(t in b.tags for b in blocks)]
     out = []
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        own = ["bias", f"words {min(7, words.bit_length())}", f"tag {b.path[-1] if b.path else '-'}"]
-        own += [f"in {t}" for t in set(b.path)] + [f"named {n}" for n in set(b.names)] + [f"near {n}" for n in set(b.near)]
-        inner = next((t for t in reversed(b.path) if t in _HOLDERS), "-")
-        own += [f"inner {inner}"] + [f"outside {t}" for t in holders if t not in b.path]
+        own = ["bias", f"words {min(7, words.bit_length())}", f"tag {b.tag if b.tag not in _WHOLE else 'body'}"]
+        own += [f"in {t}" for t in b.tags if t not in _WHOLE] + [f"named {n}" for n in b.names] + [f"near {n}" for n in set(b.near)]
+        own += [f"inner {b.holder or 'body'}"] + [f"outside {t}" for t in holders if t not in b.tags]
         own.append(f"linked {4 * b.linked // max(1, len(b.text))}")
         own.append(f"ends {b.text[-1] if b.text[-1] in '.!?:' else 'open'}")
         if b.fields:
@@ -46,7 +46,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             own.append("links")
         if b.text[0] in "©|»" or "©" in b.text:
             own.append("sign")
-        if b.path and b.path[-1] in _HEADINGS and k + 1 < len(blocks) and blocks[k + 1].text[:40] == b.text[:40]:
+        if b.tag in _HEADINGS and k + 1 < len(blocks) and blocks[k + 1].text[:40] == b.text[:40]:
             own.append("leads")
         own.append("first" if k == 0 else "last" if k == len(blocks) - 1 else "mid")
         out.append(own)
@@ -60,6 +60,11 @@ class Field:
     weights: dict[str, float]
     steps: np.ndarray
 
+    @cached_property
+    def names(self) -> frozenset[str]:
+        """Element names that have a weight."""
+        return frozenset(f.split(" ", 1)[1] for f in self.weights if f.startswith(("named ", "near ")))
+
     def decode(self, features: list[list[str]]) -> list[int]:
         """The likeliest labels of a page."""
         get = self.weights.get
@@ -136,7 +141,7 @@ def default_field(pages: int = TRAINING_PAGES) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     """Blocks of the main text, joined by one space; empty if there is none."""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.names)
     return " ".join(b.text for b, label in zip(blocks, field.decode(block_features(blocks))) if label)
 
 

@@ -487,3 +487,40 @@ def test_pages_of_awkward_rows(spark, field):
     assert [(x.page_id, x.text) for x in got[:3]] == [(1, ""), (1, ""), (2, "")]
     assert all(x.n_chars == len(x.text) for x in got) and len(got) == 5
     assert html_crf.extract_pages(df.limit(0), field).count() == 0
+
+
+def test_stray_quotes_implied_heads_and_hidden_elements():
+    texts = lambda page: [b.text for b in html_blocks.leaf_blocks(page)]
+    assert texts("<p><a href=/it's>Hello</a> world</p><p>second</p>") == ["Hello world", "second"]
+    assert texts("<p class=a'>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert texts('<p title = "a > b" x=\'c>d\' y="open>One.</p><p>">Two.</p>') == ["Two."]
+    assert texts("<html><head><title>T</title><h1>A</h1><p>Body</p>") == ["A", "Body"]
+    assert texts("<head><meta x>  <style>p{}</style>\n words <b>and</b> more") == ["words and more"]
+    assert texts("<head><noscript><img src=x>no</noscript><script>a</script></head><p>B") == ["B"]
+    assert texts("<div hidden>no<p>no</p></div><div class='hidden lg'>a</div><p HIDDEN='until-found'>no</p><p data-hidden>b") == ["a", "b"]
+    assert texts("<head><title>T</title></head><head>x") == ["x"]
+
+
+def test_page_forms_do_not_change_the_text():
+    """Pages without the tags that may be left out, with stray quotes, and deep in other elements."""
+    field = html_crf.default_field()
+    for seed in range(5000, 5040):
+        page, _ = PageMaker(seed).page()
+        want = html_crf.main_text(page, field)
+        bare = re.sub(r"</head>\s*<body[^>]*>|</body>|</html>", "", page)
+        quotes = re.sub(r"<p>", "<p data-x=it's>", page)
+        assert bare != page and html_crf.main_text(bare, field) == want
+        assert html_crf.main_text(quotes, field) == want
+
+
+def test_deep_pages_stay_small():
+    import tracemalloc
+
+    field = html_crf.default_field()
+    deep = "<body>" + "".join(f"<div class='a b n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>word" for i in range(40_000))
+    tracemalloc.start()
+    blocks = html_blocks.leaf_blocks(deep, field.names)
+    html_crf.main_text(deep + "</b></i></span></q>" + "</section>" * 40_000, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 40_000 and blocks[-1].path.count("div") == 40_000 and peak < 500e6
