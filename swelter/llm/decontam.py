@@ -7,12 +7,15 @@ the item) at most k to either side of one. So shared q-grams are counted in over
 diagonal bands, a sum along the band gives the count of every window, windows that reach the
 bound are aligned within the band, and those within the budget count.
 
-The benchmark is a stated query set: it goes over all documents in blocks of bounded size.
+The benchmark is a stated query set: it goes over all documents in blocks of bounded size. Long
+items are cut into overlapping pieces, equal pieces of an item kept once. Where texts and pieces
+share very many q-grams (runs of one character, say), pieces and text are halved until the places
+shared are few enough to be held at once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +30,9 @@ EDIT_RATE = 0.05
 BLOCK_CHARS = 2_000_000
 #: Characters of a text that are looked at at once.
 CHUNK = 1 << 20
+#: Characters of a piece of a longer item, and shared places that are held at once.
+PIECE = 1024
+MOST_PLACES = 2_000_000
 #: Windows that are aligned at once.
 _ALIGNED = 256
 _BITS = 22
@@ -81,28 +87,53 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of one block: their codes, where their q-grams lie, and a bit table of the hashes."""
+    """Items of one block in pieces: their codes, where their q-grams lie, and a bit table of the hashes.
 
+    ``order`` sorts by q-gram and piece at once. ``short`` are items without a q-gram, by all their codes."""
+
+    window: int
     ids: list[int]
     codes: list[np.ndarray]
+    whole: list[int]
     keys: np.ndarray
-    starts: np.ndarray
-    items: np.ndarray
+    order: np.ndarray
+    pieces: np.ndarray
     places: np.ndarray
     bits: np.ndarray
+    short: dict[bytes, list[int]]
+    _firsts: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def firsts(self, piece: int) -> np.ndarray:
+        """Starts of the windows of a piece, of equal ones the first: whatever equals it lies on other diagonals of that one."""
+        if piece not in self._firsts:
+            views = np.lib.stride_tricks.sliding_window_view(self.codes[piece], self.whole[piece])
+            self._firsts[piece] = np.sort(np.unique(views, axis=0, return_index=True)[1])
+        return self._firsts[piece]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Block:
-        rows = [(i, c) for i, c in ((i, normal(t)) for i, t in rows) if len(c) >= Q]
-        hashes = [grams(c) for _, c in rows]
+    def of(cls, rows: list[tuple[int, str]], window: int = WINDOW) -> Block:
+        ids, codes, whole, short = [], [], [], {}
+        for i, text in rows:
+            own, seen = normal(text), set()
+            if 0 < len(own) < Q:
+                short.setdefault(own.tobytes(), []).append(i)
+            step = max(1, PIECE - window)
+            for at in range(0, max(1, len(own) - window), step) if len(own) > PIECE else [0]:
+                piece = own[at : at + PIECE]
+                if len(piece) >= Q and piece.tobytes() not in seen:
+                    seen.add(piece.tobytes())
+                    ids.append(i)
+                    codes.append(piece)
+                    whole.append(min(window, len(own)))
+        hashes = [grams(c) for c in codes]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        items = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+        pieces = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
         places = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        keys, starts = np.unique(flat[order], return_index=True)
+        keys, number = np.unique(flat[order], return_inverse=True)
         bits = np.zeros(1 << _BITS, bool)
         bits[_slot(keys)] = True
-        return cls([i for i, _ in rows], [c for _, c in rows], keys, np.append(starts, len(flat)), items[order], places[order], bits)
+        return cls(window, ids, codes, whole, keys, number * max(1, len(codes)) + pieces[order], pieces[order], places[order], bits, short)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -110,9 +141,9 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * _SPREAD) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def windows(length: int) -> list[tuple[int, int]]:
+def windows(length: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """Start and end of the windows of an item, one at every place."""
-    m = min(WINDOW, length)
+    m = min(window, length)
     return [(s, s + m) for s in range(length - m + 1)]
 
 
@@ -149,42 +180,61 @@ def least_edits(pattern: np.ndarray, starts: np.ndarray, m: int, text: np.ndarra
 
 
 def _found(codes: np.ndarray, block: Block, done: set[int]) -> set[int]:
-    """Items of the block with a window in these codes within its budget."""
+    """Items of the block with a window in these codes within its budget; those ``done`` are not looked for."""
     hashes = grams(codes)
     at = np.flatnonzero(block.bits[_slot(hashes)])
-    if not len(at):
+    if not len(at) or not len(block.keys):
         return set()
-    key = np.searchsorted(block.keys, hashes[at])
-    key[key == len(block.keys)] = 0
-    real = block.keys[key] == hashes[at] if len(block.keys) else np.zeros(len(at), bool)
-    at, key = at[real], key[real]
-    many = block.starts[key + 1] - block.starts[key]
-    if not len(at):
-        return set()
-    entry = np.repeat(block.starts[key] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-    item, place, diagonal = block.items[entry], block.places[entry], np.repeat(at, many) - block.places[entry]
-    # an item needs at least the bound of a window, whatever the diagonal
-    total = np.bincount(item, minlength=len(block.ids))
-    out: set[int] = set()
-    for i in np.flatnonzero(total):
-        if i in done:
+    key = np.minimum(np.searchsorted(block.keys, hashes[at]), len(block.keys) - 1)
+    real = block.keys[key] == hashes[at]
+    out = set(done)
+    _search(codes, at[real], key[real], block, 0, len(block.codes), out)
+    return out - done
+
+
+def _search(codes: np.ndarray, at: np.ndarray, key: np.ndarray, block: Block, first: int, last: int, out: set[int]) -> None:
+    """Add to ``out`` the items of the pieces ``first`` to ``last`` (exclusive) that occur; ``at``: places of the text whose q-gram is ``key``."""
+    if not len(at) or all(block.ids[i] in out for i in range(first, last)):
+        return
+    n = len(block.codes)
+    start, stop = (np.searchsorted(block.order, key * n + end) for end in (first, last))
+    many = stop - start
+    held = int(many.sum())
+    lap = 2 * block.window
+    if held > MOST_PLACES and last - first > 1:
+        middle = (first + last) // 2
+        _search(codes, at, key, block, first, middle, out)
+        _search(codes, at, key, block, middle, last, out)
+        return
+    if held > MOST_PLACES and len(codes) > 4 * lap:
+        half = len(codes) // 2
+        early, late = at < half + lap, at >= half - lap
+        _search(codes[: half + lap + Q], at[early], key[early], block, first, last, out)
+        _search(codes[half - lap :], at[late] - (half - lap), key[late], block, first, last, out)
+        return
+    entry = np.repeat(start - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(held)
+    piece, place = block.pieces[entry], block.places[entry]
+    diagonal = np.repeat(at, many) - place
+    # a piece needs at least the bound of a window, whatever the diagonal
+    total = np.bincount(piece - first, minlength=last - first)
+    order = np.argsort(piece, kind="stable")
+    ends = np.searchsorted(piece[order], np.arange(first, last + 1))
+    for i in range(first, last):
+        m = block.whole[i]
+        if not total[i - first] or block.ids[i] in out or total[i - first] < _bound(m):
             continue
-        pattern = block.codes[i]
-        m = min(WINDOW, len(pattern))
-        if total[i] < _bound(m):
-            continue
-        mine = item == i
-        if _window_occurs(codes, pattern, m, place[mine], diagonal[mine]):
-            out.add(int(i))
-    return out
+        mine = order[ends[i - first] : ends[i - first + 1]]
+        if _window_occurs(codes, block, i, place[mine], diagonal[mine]):
+            out.add(block.ids[i])
 
 
 def _bound(m: int) -> int:
     return max(1, m + 1 - Q * (budget(m) + 1))
 
 
-def _window_occurs(codes: np.ndarray, pattern: np.ndarray, m: int, p: np.ndarray, d: np.ndarray) -> bool:
-    """True when a window of ``m`` occurs within its budget, given the places and diagonals of all shared q-grams."""
+def _window_occurs(codes: np.ndarray, block: Block, piece: int, p: np.ndarray, d: np.ndarray) -> bool:
+    """True when a window of the piece occurs within its budget, given the places and diagonals of all shared q-grams."""
+    pattern, m = block.codes[piece], block.whole[piece]
     k, bound = budget(m), _bound(m)
     reach = 2 * k + 1
     # bands 2 * reach wide, one every reach: any 2k + 1 neighbouring diagonals lie in one of them
@@ -200,6 +250,8 @@ def _window_occurs(codes: np.ndarray, pattern: np.ndarray, m: int, p: np.ndarray
         sums = np.cumsum(here)
         shared = sums[m - Q + 1 : len(pattern) - Q + 2] - sums[: len(pattern) - m + 1]
         starts = np.flatnonzero(shared >= bound)
+        if len(starts):
+            starts = np.intersect1d(starts, block.firsts(piece), assume_unique=True)
         if not len(starts):
             continue
         best = starts[np.argmax(shared[starts]) :][:1]
@@ -214,14 +266,14 @@ def _window_occurs(codes: np.ndarray, pattern: np.ndarray, m: int, p: np.ndarray
 def matched_items(text: str | None, blocks: list[Block]) -> list[int]:
     """Ids of the items of which a window occurs in the text within its edit budget, in order."""
     codes = normal(text)
-    out: list[int] = []
-    lap = 2 * WINDOW
+    out: set[int] = set()
     for block in blocks:
-        found: set[int] = set()
+        lap = 2 * block.window
         for s in range(0, max(1, len(codes)), CHUNK):
-            found |= _found(codes[max(0, s - lap) : s + CHUNK + lap], block, found)
-        out += [block.ids[i] for i in found]
-    return sorted(set(out))
+            out |= _found(codes[max(0, s - lap) : s + CHUNK + lap], block, out)
+        if 0 < len(codes) < Q:
+            out |= set(block.short.get(codes.tobytes(), ()))
+    return sorted(out)
 
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
@@ -236,13 +288,15 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return out
 
 
-def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, keep_text: bool = False) -> DataFrame:
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, keep_text: bool = False, window: int = WINDOW) -> DataFrame:
     """``keep`` columns and ``item_ids``, the benchmark items found in every document.
 
     All documents are returned, repeated rows too, with an empty list where nothing is found:
-    for NULL and empty texts, and for an empty benchmark. Items shorter than Q characters
-    have no q-gram and are never found; NULL items are skipped. Whole texts are searched, in
-    overlapping chunks. Every block of the benchmark is one more pass in the same task, and
+    for NULL and empty texts, and for an empty benchmark. An item is found where ``window``
+    characters of it (all, if it is shorter) occur with few edits (``budget``); 50 finds passages
+    of about 13 words (a run of common words too, so it is not the default). Items of fewer than Q
+    letters are found where they are the whole text, letter by letter; items without letters and
+    NULL ones never. Whole texts are searched, in overlapping chunks. Every block of the benchmark is one more pass in the same task, and
     only that block is sent to it.
     """
     out = pick(docs, *keep, "text").withColumn("_found", F.array().cast("array<bigint>"))
@@ -253,7 +307,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, keep_te
 
         def search(texts: list, sent=sent, built=built) -> list:
             if not built:
-                built.append(Block.of(sent.value))
+                built.append(Block.of(sent.value, window))
             return [[matched_items(t, built) for t in texts]]
 
         out = map_text(out, search, "_more array<bigint>", keep_inputs=True)

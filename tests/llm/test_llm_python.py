@@ -186,6 +186,8 @@ def brute_items(text, items):
     codes, out = decontam.normal(text).tolist(), set()
     for i, item in items:
         own = decontam.normal(item).tolist()
+        if i is not None and 0 < len(own) < decontam.Q and own == codes:
+            out.add(i)
         if i is not None and len(own) >= decontam.Q and any(sellers(own[a:b], codes) <= decontam.budget(b - a) for a, b in decontam.windows(len(own))):
             out.add(i)
     return sorted(out)
@@ -524,3 +526,53 @@ def test_deep_pages_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(blocks) == 40_000 and blocks[-1].path.count("div") == 40_000 and peak < 500e6
+
+
+def test_short_items_are_whole_texts():
+    blocks = [decontam.Block.of([(1, "Yes, 42!"), (2, "yes 42"), (3, "!?"), (4, "no")])]
+    found = lambda text: decontam.matched_items(text, blocks)
+    assert found(" yes (42)") == [1, 2] and found("yes 42 no") == [] and found("No.") == [4] and found("?!") == [] and found(None) == []
+
+
+def test_short_passages_of_all_places():
+    """With a window of 50, any 50 letters of an item with two edits, and no 40."""
+    r = random.Random(12)
+    item = sentence(r, 300)
+    own = decontam.normal(item)
+    assert len(own) > decontam.PIECE
+    blocks = [decontam.Block.of([(1, sentence(r, 30)), (2, item)], 50)]
+    text = lambda codes: "".join(map(chr, codes))
+    around = lambda part: sentence(r, 20) + " " + part + " " + sentence(r, 20)
+    for a in range(0, len(own) - 50 + 1, 3):
+        chars = list(text(own[a : a + 50]))
+        for at in r.sample(range(1, 49), decontam.budget(50)):
+            chars[at] = "#"
+        assert decontam.matched_items(around("".join(chars)), blocks) == [2]
+    assert decontam.budget(50) == 2 and decontam.matched_items(around(text(own[100:140])), blocks) == []
+    assert decontam.windows(60, 50) == [(s, s + 50) for s in range(11)]
+
+
+def test_long_items_and_many_shared_places(monkeypatch):
+    """Pieces and halves give what one look at everything gives."""
+    r = random.Random(13)
+    items = [(1, sentence(r, 900)), (2, "ab " * 800), (3, sentence(r, 60)), (4, "0" * 500 + sentence(r, 5) + "1" * 90)]
+    texts = [sentence(r, 400) + items[0][1][at : at + 200] + sentence(r, 300) for at in range(0, 4000, 450)]
+    texts += ["0" * 4000, "ab " * 900, "0" * 80 + sentence(r, 900) + items[2][1], "x" * 5000, sentence(r, 5) + "1" * 3000]
+    blocks = [decontam.Block.of(items)]
+    whole = [decontam.matched_items(t, blocks) for t in texts]
+    assert whole[:9] == [[1]] * 9 and whole[9:] == [[4], [2], [3], [], []]
+    monkeypatch.setattr(decontam, "MOST_PLACES", 3000)
+    assert [decontam.matched_items(t, blocks) for t in texts] == whole
+
+
+def test_equal_characters_stay_small():
+    import tracemalloc
+
+    blocks = [decontam.Block.of([(1, "0" * 600), (2, "1" * 100_000), (3, "01" * 300)])]
+    tracemalloc.start()
+    assert decontam.matched_items("0" * (1 << 20), blocks) == [1]
+    assert decontam.matched_items("1" * (1 << 18) + "2" + "10" * (1 << 17), blocks) == [2, 3]
+    assert decontam.matched_items(("0" * 30 + "xyz") * 300, blocks) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
