@@ -17,12 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.llm.common import map_text, pick, store
 from swelter.operators.graph import connected_components
+from swelter.session import ship_package
 
 SHINGLE = 3
 SEED = 42
@@ -40,6 +42,10 @@ COMMON = 4
 MOST_COMMON = 1 << 18
 #: Rounds in which every shingle has one text compared with the others, before all that is left is.
 LEADER_ROUNDS = 2
+#: Bits of the parities of a set, 64 to a number.
+PARITIES = 1024
+#: Bits of the table that picks the rows some keys belong to.
+KEY_BITS = 1 << 25
 _CHUNK = 1 << 16
 
 
@@ -130,6 +136,13 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For ``PARITIES`` classes of shingles whether a set has an odd number of each, as bits. Two
+    sets differ in at least as many shingles as their parities differ in bits."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
@@ -155,7 +168,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copy_marks(docs: DataFrame) -> DataFrame:
-    """``docs`` with sid, prints, the number of shingles and the prefix in place of the text."""
+    """``docs`` with sid, prints, the number of shingles, the prefix and the parities in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def marks(texts: list) -> list:
@@ -163,10 +176,10 @@ def copy_marks(docs: DataFrame) -> DataFrame:
         sets = [shingle_set(w) for w in split]
         return [
             [_set_id(f) for f in sets], [copy_prints(w) if w else [] for w in split],
-            [len(f) for f in sets], [prefix(f, *sent.value) for f in sets],
+            [len(f) for f in sets], [prefix(f, *sent.value) for f in sets], [parities(f) for f in sets],
         ]
 
-    return map_text(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>")
+    return map_text(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>")
 
 
 def _copy_sets(texts: list) -> list:
@@ -193,6 +206,29 @@ def copy_candidates(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
 
+def _rows_of(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (long) is one of ``keys``, and a few others.
+
+    What is sent to the tasks is a bit table of a fixed size, so a large table is not shuffled
+    for the sake of few of its rows. Where there are more keys than bits all rows stay, and the
+    join that follows does the work.
+    """
+    slot = F.pmod(F.col(key), F.lit(KEY_BITS))
+    word = F.floor(slot / 64).cast("int")
+    bits = keys.select(word.alias("word"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    table = np.zeros(KEY_BITS // 64, np.uint64)
+    table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(key).to_numpy() % KEY_BITS
+            yield batch.filter(pa.array((sent.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)) > 0))
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def _could_be_alike(x: str, y: str) -> Column:
     """False where two sets that share the shingle at these places of their orders cannot be alike."""
     n, m, i, j = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (x, y))
@@ -200,9 +236,14 @@ def _could_be_alike(x: str, y: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a shingle of ``left`` and ``right``."""
+def _pairs(left: DataFrame, right: DataFrame, meet_once: bool = False) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a shingle of ``left`` and ``right``.
+    With ``meet_once`` rows have ``before`` and the parities: a pair meets at the first shingle it
+    shares, if its parities allow."""
     both = left.alias("x").join(right.alias("y"), "h").where(F.col("x.comp") != F.col("y.comp")).where(_could_be_alike("x", "y"))
+    if meet_once:
+        differ = sum((F.bit_count(F.col(f"x.odd{k}").bitwiseXOR(F.col(f"y.odd{k}"))) for k in range(PARITIES // 64)), F.lit(0))
+        both = both.where("x.sid < y.sid").where(9 * differ <= F.col("x.n") + F.col("y.n")).where(~F.arrays_overlap("x.before", "y.before"))
     return both.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
@@ -212,6 +253,17 @@ def _open(rows: DataFrame) -> DataFrame:
     return store(rows.join(several.select("h"), "h"))
 
 
+def _with_before(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Add ``before``, the shingles of a set among ``rows`` that stand before the row's own (all sets
+    have their shingles in one order), and the parities of the set, a column each."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "h")))
+    sets = rows.groupBy("sid", "n", "comp").agg(ordered.alias("all"))
+    sets = sets.join(_rows_of(distinct.select("sid", "odd"), "sid", sets.select("sid")), "sid")
+    odd = [F.col("odd")[k].alias(f"odd{k}") for k in range(PARITIES // 64)]
+    each = sets.select("sid", "n", "comp", *odd, F.col("all.h").alias("hs"), F.posexplode("all").alias("k", "own"))
+    return each.select("sid", "n", "comp", *[f"odd{k}" for k in range(PARITIES // 64)], "own.at", "own.h", F.slice("hs", F.lit(1), F.col("k")).alias("before"))
+
+
 def _with_comp(rows: DataFrame, labels: DataFrame) -> DataFrame:
     mapped = labels.select(F.col("node").alias("sid"), F.col("comp").alias("_comp"))
     return rows.join(mapped, "sid", "left").withColumn("comp", F.coalesce("_comp", "sid")).drop("_comp")
@@ -220,17 +272,21 @@ def _with_comp(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs of which the whole sets are alike.
 
-    What both prefixes share and the longer rest of the two are an upper bound of what the
-    sets share; only texts in a pair that can be alike by it are read.
+    Sets that are alike differ in a ninth of their shingles at most, and in no fewer than their
+    parities do; only texts in a pair that can be alike by that are read.
     """
-    own = distinct.select("sid", "n", "prefix")
+    paired = store(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    own = _rows_of(distinct.select("sid", "n", "odd"), "sid", paired)
     known = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b")
-    most = F.size(F.array_intersect("p", "q")) + F.greatest(F.col("n") - F.size("p"), F.col("m") - F.size("q"))
-    pairs = store(known.where(9 * most >= 4 * (F.col("n") + F.col("m"))).select("a", "b"))
+    bits = F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    pairs = store(known.where(9 * differ <= F.col("n") + F.col("m")).select("a", "b"))
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = distinct.join(paired, "sid", "left_semi").select("first._row")
-    texts = docs.select("_row", "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("text")
-    sets = store(map_text(texts, _copy_sets, "sid long, hashes array<bigint>"))
+    wanted = distinct.select("sid", F.xxhash64("first._row").alias("key")).join(paired, "sid", "left_semi").select("key")
+    # texts are picked where they lie; equal ones and strangers go when their sets are known
+    texts = _rows_of(docs.select(F.xxhash64("_row").alias("key"), "text"), "key", wanted).select("text")
+    found = store(map_text(texts, _copy_sets, "sid long, hashes array<bigint>"))
+    sets = found.join(paired, "sid", "left_semi").dropDuplicates(["sid"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     alike = F.col("shared") >= F.lit(ALIKE) * (F.size("x") + F.size("y") - F.col("shared"))
     return store(both.where(alike).select("a", "b"))
@@ -244,10 +300,10 @@ def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shares most of its prefix (an original, more than its variants), with all others; it then
     leaves that shingle. After the rounds all pairs left are compared.
     """
-    links = _alike(docs, distinct, copy_candidates(distinct))
+    links = _alike(docs, distinct, store(copy_candidates(distinct)))
     labels = store(connected_components(links, []))
-    rows = distinct.select("sid", "n", F.posexplode("prefix").alias("at", "h"))
-    rows = _open(_with_comp(rows, labels))
+    rows = _with_comp(distinct.select("sid", "n", "prefix"), labels)
+    rows = _open(rows.select("sid", "n", "comp", F.posexplode("prefix").alias("at", "h")))
     size = F.col("n") - F.ceil(F.lit(4) * F.col("n") / 5) + 1
     shared = rows.groupBy("sid").agg((F.count(F.lit(1)) / F.max(size)).alias("central"))
     rows = store(rows.join(shared, "sid"))
@@ -256,7 +312,12 @@ def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             break
         first = rows.groupBy("h").agg(F.max(F.struct("central", "sid", "n", "at", "comp")).alias("lead"))
         first = store(first.select("h", "lead.*"))
-        more = _alike(docs, distinct, _pairs(first if k < LEADER_ROUNDS else rows, rows))
+        if k < LEADER_ROUNDS:
+            pairs = _pairs(first, rows)
+        else:
+            rows = store(_with_before(rows, distinct))
+            pairs = _pairs(rows, rows, meet_once=True)
+        more = _alike(docs, distinct, store(pairs))
         if not more.isEmpty():
             links = store(links.unionByName(more))
             labels = store(connected_components(links, []))
@@ -275,14 +336,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     marked = copy_marks(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    alike = [F.min(c).alias(c) for c in ("prints", "n", "prefix")]
+    alike = [F.min(c).alias(c) for c in ("prints", "n", "prefix", "odd")]
     distinct = store(marked.groupBy("sid").agg(first, *alike))
     labels = copy_links(docs, distinct).select(F.col("node").alias("sid"), "comp")
     return distinct.join(labels, "sid", "left").select("first", "sid", F.coalesce("comp", "sid").alias("comp"))
 
 
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of every group of near copies: the smallest id, ids before NULL, then the smallest digest of the text."""
+    """One row of every group of near copies: the smallest id, ids before NULL, then the smallest
+    digest of the text; of rows equal in both the smallest in the order of ``columns``."""
     own = pick(docs, *columns).withColumn("_row", F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     stay = near_copies(own.select("doc_id", "text", "_row")).groupBy("comp").agg(F.min("first").alias("first")).select("first._row")
-    return own.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
+    return own.join(stay, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
