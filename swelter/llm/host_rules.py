@@ -28,7 +28,8 @@ def _add(df: DataFrame, **columns: Column | str) -> DataFrame:
 
 
 def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """Counts of every text: ``keep`` columns, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """Counts of every text: ``keep`` columns, then n_words, word_chars, n_symbols,
+    n_lines (those with a word), n_dup_lines, n_repeat_words.
 
     Windows of five words are compared by hash. Hash and position share one number, so one
     sort of plain longs per text brings equal windows side by side; neighbours with equal
@@ -46,6 +47,7 @@ def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
         df.drop("text"),
         n_words="cast(size(words) as bigint)",
         word_chars="cast(length(array_join(words, '')) as bigint)",
+        n_lines="cast(size(lines) as bigint)",
         n_dup_lines="cast(size(lines) - size(array_distinct(lines)) as bigint)",
         hashes="transform(words, w -> xxhash64(w))",
         bits="length(bin(size(words)))",
@@ -76,7 +78,7 @@ def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
         n_repeat_words=f"""aggregate(starts, named_struct('last', cast(-{WINDOW} as bigint), 'n', 0L),
             (a, p) -> named_struct('last', p, 'n', a.n + least({WINDOW}L, p - a.last)), a -> a.n)""",
     )
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -92,7 +94,7 @@ def rule_failed() -> Column:
         | (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n)
         | (mean < MEAN_WORD[0])
         | (mean > MEAN_WORD[1])
-        | (F.col("n_dup_lines") > MAX_DUP_LINES * n)
+        | (F.col("n_dup_lines") > MAX_DUP_LINES * F.greatest(F.col("n_lines"), F.lit(1)))
     )
 
 
@@ -146,19 +148,20 @@ g AS (
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, words) AS n FROM g) WHERE n > 1),
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS u(k) GROUP BY rid),
 lines AS (
-  SELECT rid, count(*) - count(DISTINCT l) AS n
+  SELECT rid, count(*) AS lines, count(*) - count(DISTINCT l) AS n
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)
   WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
 c AS (
   SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(lines.lines, 0)::BIGINT AS n_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN covered USING (rid) LEFT JOIN lines USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 f AS (
   SELECT *, base_failed OR n_symbols > {MAX_SYMBOLS_PER_WORD} * greatest(n_words, 1)
          OR word_chars / greatest(n_words, 1) < {MEAN_WORD[0]} OR word_chars / greatest(n_words, 1) > {MEAN_WORD[1]}
-         OR n_dup_lines > {MAX_DUP_LINES} * greatest(n_words, 1) AS failed
+         OR n_dup_lines > {MAX_DUP_LINES} * greatest(n_lines, 1) AS failed
   FROM b),
 h AS (SELECT source, count(*)::BIGINT AS host_docs, sum(failed::INT)::BIGINT AS host_failed FROM f GROUP BY source),
 m AS (SELECT avg(host_failed / host_docs) AS m, var_samp(host_failed / host_docs) AS v FROM h),

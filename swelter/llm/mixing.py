@@ -31,7 +31,9 @@ def _hash_int(text: Column) -> Column:
 def row_key() -> Column:
     """Equal for rows with the same id, source and text only."""
     text = F.md5(F.coalesce("text", F.lit("")))
-    return F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("doc_id").cast("string"), "source", text))
+    # parts that are NULL are left out, so they are named at the end
+    absent = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in ("doc_id", "source")]
+    return F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("doc_id").cast("string"), "source", text, *absent))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -167,7 +169,8 @@ def mixed_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 SQL = f"""
 WITH s0 AS (
-  SELECT md5(concat_ws('|', '{SEED}', doc_id::VARCHAR, source, md5(coalesce(text, '')))) AS key, doc_id, source,
+  SELECT md5(concat_ws('|', '{SEED}', doc_id::VARCHAR, source, md5(coalesce(text, '')),
+                       CASE WHEN doc_id IS NULL THEN 'no doc_id' END, CASE WHEN source IS NULL THEN 'no source' END)) AS key, doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s1 AS (SELECT key, doc_id, source, size, count(*) AS copies FROM s0 GROUP BY ALL),

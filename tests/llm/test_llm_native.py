@@ -37,6 +37,30 @@ def test_host_of_junk_takes_its_documents_along(spark):
     assert got[0].kept and not got[100].base_failed and not got[100].kept and got[100].host_rejected
 
 
+def test_host_of_repeated_lines_is_rejected(spark):
+    """Only the rule on repeated lines fails these documents: 4 of their 13 lines are repeats, of 61 words."""
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(7))
+    rows = [(k, line() + "\n" + line(), "en", "good", 1) for k in range(40)]
+    for k in range(40):
+        lines = [line() for _ in range(7)]
+        menu = ["home news", "about us"]
+        rows.append((100 + k, "\n".join([*lines, *menu, *menu, *menu]), "en", "menus", 1))
+    docs = plain_docs(spark, rows)
+    got = {x.doc_id: x for x in host_rules.apply_host_rules(docs).collect()}
+    assert not got[100].base_failed and got[100].n_dup_lines == 4 and got[100].host_rejected and not got[100].kept
+    assert got[0].kept and got[100].n_dup_lines < 0.3 * got[100].n_words
+    assert differences(host_rules.apply_host_rules(docs), duck_of(documents=docs), host_rules.SQL) == []
+
+
+def test_keys_tell_nulls_apart(spark):
+    """A document without id of source 5, and document 5 without source, with one text."""
+    text = sentence(random.Random(1), 2000)
+    rows = [(None, text, "en", "5", 1), (5, text, "en", None, 1), (None, text, "en", None, 1)]
+    kept = [(x.doc_id, x.source) for x in mixing.mixed_documents(plain_docs(spark, rows), ["doc_id", "text", "source"]).collect()]
+    assert {(None, "5"), (5, None), (None, None)} == set(kept)
+
+
 def test_host_rules_of_nothing(spark):
     assert host_rules.apply_host_rules(empty_docs(spark)).count() == 0
 
