@@ -14,7 +14,7 @@ found by a prefix filter: in any one order of all shingles, two sets with a simi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swelter.llm.common import map_text, pick, store
+from swelter.llm.common import lists, map_text, pick, slices, store
 from swelter.operators.graph import connected_components
 from swelter.session import ship_package
 
@@ -182,9 +182,13 @@ def copy_marks(docs: DataFrame) -> DataFrame:
     return map_text(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>")
 
 
-def _copy_sets(texts: list) -> list:
-    found = [shingle_set(_words(t)) for t in texts]
-    return [[_set_id(f) for f in found], found]
+def _copy_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """sid and hashes of the texts of a batch, a slice at a time."""
+    for part in slices(batch, batch.column("text")):
+        found = [shingle_set(_words(t)) for t in part.column("text").to_pylist()]
+        sids = pa.array([_set_id(f) for f in found], pa.int64())
+        hashes = lists(np.concatenate([*found, np.empty(0, np.int64)]), np.array([len(f) for f in found], np.int64))
+        yield pa.RecordBatch.from_arrays([sids, hashes], names=["sid", "hashes"])
 
 
 def copy_candidates(distinct: DataFrame) -> DataFrame:
@@ -206,8 +210,11 @@ def copy_candidates(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
 
-def _rows_of(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` (long) is one of ``keys``, and a few others.
+def _rows_of(
+    df: DataFrame, key: str, keys: DataFrame, then: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None, out: str | None = None
+) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (long) is one of ``keys``, and a few others; or what ``then``
+    makes of them in the same task (columns ``out``).
 
     What is sent to the tasks is a bit table of a fixed size, so a large table is not shuffled
     for the sake of few of its rows. Where there are more keys than bits all rows stay, and the
@@ -223,10 +230,11 @@ def _rows_of(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(key).to_numpy() % KEY_BITS
-            yield batch.filter(pa.array((sent.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)) > 0))
+            hit = batch.filter(pa.array((sent.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)) > 0))
+            yield from then(hit) if then else (hit,)
 
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, out or df.schema)
 
 
 def _could_be_alike(x: str, y: str) -> Column:
@@ -284,8 +292,8 @@ def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = distinct.select("sid", F.xxhash64("first._row").alias("key")).join(paired, "sid", "left_semi").select("key")
     # texts are picked where they lie; equal ones and strangers go when their sets are known
-    texts = _rows_of(docs.select(F.xxhash64("_row").alias("key"), "text"), "key", wanted).select("text")
-    found = store(map_text(texts, _copy_sets, "sid long, hashes array<bigint>"))
+    texts = docs.select(F.xxhash64("_row").alias("key"), "text")
+    found = store(_rows_of(texts, "key", wanted, _copy_sets, "sid long, hashes array<bigint>"))
     sets = found.join(paired, "sid", "left_semi").dropDuplicates(["sid"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     alike = F.col("shared") >= F.lit(ALIKE) * (F.size("x") + F.size("y") - F.col("shared"))
