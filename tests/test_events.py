@@ -8,27 +8,14 @@ from swelter.operators import events as ev
 
 
 def events_by_hand(flags, years, min_duration, grace):
-    """Day by day: walk on from a hot day; skip a cold one only if grace is left and the next is hot."""
-    out, number, i = {}, 0, 0
-    while i < len(flags):
-        if not flags[i]:
-            i += 1
-            continue
-        hot, j, used = [], i, 0
-        while j < len(flags) and years[j] == years[i]:
-            if flags[j]:
-                hot.append(j)
-                used = 0
-            elif used < grace and j + 1 < len(flags) and years[j + 1] == years[i] and flags[j + 1]:
-                used += 1
-            else:
-                break
-            j += 1
-        if len(hot) >= min_duration:
-            number += 1
-            out.update({k: number for k in hot})
-        i = max(j, i + 1)
-    return out
+    """The list of hot days cut between neighbours of different years or further apart than the
+    reach; groups of the least size are numbered in order."""
+    hot = [k for k, flag in enumerate(flags) if flag]
+    reach = 2 if grace else 1
+    cuts = [n for n in range(1, len(hot)) if hot[n] - hot[n - 1] > reach or years[hot[n]] != years[hot[n - 1]]]
+    groups = [hot[x:y] for x, y in zip([0, *cuts], [*cuts, len(hot)])]
+    long_enough = [g for g in groups if len(g) >= min_duration]
+    return {k: number for number, g in enumerate(long_enough, 1) for k in g}
 
 
 @pytest.mark.parametrize(("min_duration", "grace"), [(3, 1), (3, 0), (2, 2), (1, 3), (4, 1)])
