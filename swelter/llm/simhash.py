@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swelter.llm.common import lists, map_text, pick, slices, store
+from swelter.llm.common import lists, map_arrays, map_text, pick, slices, store
 from swelter.operators.graph import connected_components
 from swelter.session import ship_package
 
@@ -171,15 +171,17 @@ def copy_marks(docs: DataFrame) -> DataFrame:
     """``docs`` with sid, prints, the number of shingles, the prefix and the parities in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
-    def marks(texts: list) -> list:
-        split = [_words(t) for t in texts]
+    def marks(column: pa.Array) -> list[pa.Array]:
+        split = [_words(t) for t in column.to_pylist()]
         sets = [shingle_set(w) for w in split]
+        long = pa.list_(pa.int64())
         return [
-            [_set_id(f) for f in sets], [copy_prints(w) if w else [] for w in split],
-            [len(f) for f in sets], [prefix(f, *sent.value) for f in sets], [parities(f) for f in sets],
+            pa.array([_set_id(f) for f in sets], pa.int64()), pa.array([copy_prints(w) if w else [] for w in split], long),
+            pa.array([len(f) for f in sets], pa.int64()), pa.array([prefix(f, *sent.value) for f in sets], long),
+            pa.array([parities(f) for f in sets], long),
         ]
 
-    return map_text(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>")
+    return map_arrays(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>", ("text",))
 
 
 def _copy_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
