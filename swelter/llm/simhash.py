@@ -42,8 +42,10 @@ COMMON = 4
 MOST_COMMON = 1 << 18
 #: Rounds in which every shingle has one text compared with the others, before all that is left is.
 LEADER_ROUNDS = 2
-#: Bits of the parities of a set, 64 to a number.
+#: Bits of the parities of a set, 64 to a number; sets with more shingles also have as many bits as shingles.
 PARITIES = 1024
+#: Shared shingles right before a row's own by which a pair is known to have met.
+LOOK_BACK = 16
 #: Bits of the table that picks the rows some keys belong to.
 KEY_BITS = 1 << 25
 _CHUNK = 1 << 16
@@ -136,13 +138,31 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """For ``PARITIES`` classes of shingles whether a set has an odd number of each, as bits. Two
-    sets differ in at least as many shingles as their parities differ in bits."""
-    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+def parities(found: np.ndarray, classes: int = PARITIES) -> np.ndarray:
+    """For every class of shingles whether a set has an odd number of it, as bits. Two sets
+    differ in at least as many shingles as their parities differ in bits."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % classes, minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parities(found: np.ndarray) -> np.ndarray:
+    """The parities of a set of more than ``PARITIES`` shingles: as many classes as shingles, rounded
+    up to a power of two. A large set has about half of few bits, whatever its shingles."""
+    return parities(found, 1 << (len(found) - 1).bit_length()) if len(found) > PARITIES else np.empty(0, np.int64)
+
+
+def _differ(x: str, y: str) -> Column:
+    """In how many bits two parities differ, of which one may have twice as many as the other."""
+
+    def halved(own: str, other: str) -> Column:
+        half = F.size(other)
+        low, high = F.slice(own, F.lit(1), half), F.slice(own, half + 1, half)
+        return F.when(F.size(own) > half, F.zip_with(low, high, lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(own))
+
+    bits = F.zip_with(halved(x, y), halved(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def _set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
@@ -168,7 +188,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copy_marks(docs: DataFrame) -> DataFrame:
-    """``docs`` with sid, prints, the number of shingles, the prefix and the parities in place of the text."""
+    """``docs`` with sid, prints, the number of shingles, the prefix and both parities in place of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def marks(column: pa.Array) -> list[pa.Array]:
@@ -178,10 +198,10 @@ def copy_marks(docs: DataFrame) -> DataFrame:
         return [
             pa.array([_set_id(f) for f in sets], pa.int64()), pa.array([copy_prints(w) if w else [] for w in split], long),
             pa.array([len(f) for f in sets], pa.int64()), pa.array([prefix(f, *sent.value) for f in sets], long),
-            pa.array([parities(f) for f in sets], long),
+            pa.array([parities(f) for f in sets], long), pa.array([wide_parities(f) for f in sets], long),
         ]
 
-    return map_arrays(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>", ("text",))
+    return map_arrays(docs, marks, "sid long, prints array<bigint>, n long, prefix array<bigint>, odd array<bigint>, wide array<bigint>", ("text",))
 
 
 def _copy_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -264,14 +284,16 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _with_before(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Add ``before``, the shingles of a set among ``rows`` that stand before the row's own (all sets
-    have their shingles in one order), and the parities of the set, a column each."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "h")))
-    sets = rows.groupBy("sid", "n", "comp").agg(ordered.alias("all"))
-    sets = sets.join(_rows_of(distinct.select("sid", "odd"), "sid", sets.select("sid")), "sid")
-    odd = [F.col("odd")[k].alias(f"odd{k}") for k in range(PARITIES // 64)]
-    each = sets.select("sid", "n", "comp", *odd, F.col("all.h").alias("hs"), F.posexplode("all").alias("k", "own"))
-    return each.select("sid", "n", "comp", *[f"odd{k}" for k in range(PARITIES // 64)], "own.at", "own.h", F.slice("hs", F.lit(1), F.col("k")).alias("before"))
+    """Add ``before``, the last ``LOOK_BACK`` shingles of a set among ``rows`` that stand before the
+    row's own, and the parities of the set, a column each.
+
+    All sets have their shingles in one order, so pairs that share one of ``before`` have met at
+    an earlier shingle, and at the first one they share nothing stands before.
+    """
+    earlier = Window.partitionBy("sid").orderBy("at").rowsBetween(-LOOK_BACK, -1)
+    odd = _rows_of(distinct.select("sid", "odd"), "sid", rows.select("sid").distinct())
+    odd = odd.select("sid", *[F.col("odd")[k].alias(f"odd{k}") for k in range(PARITIES // 64)])
+    return rows.select("sid", "n", "comp", "at", "h", F.collect_list("h").over(earlier).alias("before")).join(odd, "sid")
 
 
 def _with_comp(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,14 +305,15 @@ def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs of which the whole sets are alike.
 
     Sets that are alike differ in a ninth of their shingles at most, and in no fewer than their
-    parities do; only texts in a pair that can be alike by that are read.
+    parities do; only texts in a pair that can be alike by that are read. The parities of a pair
+    are a small part of its sets, which are what is sent to every pair that is left.
     """
     paired = store(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    own = _rows_of(distinct.select("sid", "n", "odd"), "sid", paired)
+    finest = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("odd")).alias("odd")
+    own = _rows_of(distinct.select("sid", "n", finest), "sid", paired)
     known = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b")
-    bits = F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-    pairs = store(known.where(9 * differ <= F.col("n") + F.col("m")).select("a", "b"))
+    near = known.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).where(9 * _differ("p", "q") <= F.col("n") + F.col("m"))
+    pairs = store(near.select("a", "b"))
     paired = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = distinct.select("sid", F.xxhash64("first._row").alias("key")).join(paired, "sid", "left_semi").select("key")
     # texts are picked where they lie; equal ones and strangers go when their sets are known
@@ -325,7 +348,7 @@ def copy_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         if k < LEADER_ROUNDS:
             pairs = _pairs(first, rows)
         else:
-            rows = store(_with_before(rows, distinct))
+            rows = _with_before(rows, distinct)
             pairs = _pairs(rows, rows, meet_once=True)
         more = _alike(docs, distinct, store(pairs))
         if not more.isEmpty():
@@ -346,7 +369,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     marked = copy_marks(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    alike = [F.min(c).alias(c) for c in ("prints", "n", "prefix", "odd")]
+    alike = [F.min(c).alias(c) for c in ("prints", "n", "prefix", "odd", "wide")]
     distinct = store(marked.groupBy("sid").agg(first, *alike))
     labels = copy_links(docs, distinct).select(F.col("node").alias("sid"), "comp")
     return distinct.join(labels, "sid", "left").select("first", "sid", F.coalesce("comp", "sid").alias("comp"))

@@ -126,6 +126,61 @@ def test_copies_with_one_block_added_or_replaced(spark):
     assert kept == {2 * k for k in range(len(pairs))} | {2 * k + 1 for k, x in enumerate(near) if not x}
 
 
+def test_parities_of_large_sets_rule_out_strangers_alone(spark):
+    """Never more bits than shingles that differ, also where one set has twice the classes; strangers differ in more than alike sets may."""
+    r = np.random.default_rng(11)
+    draw = lambda n: np.unique(r.integers(-(1 << 63), (1 << 63) - 1, n))
+    rows, differ, strangers = [], [], []
+    for n, m in ((900, 1000), (1000, 1100), (2000, 2100), (2040, 2060), (5000, 5100), (3800, 4300), (30000, 34000)):
+        x = draw(n)
+        near = np.unique(np.concatenate([x[: n - n // 20], draw(m - n + n // 20)]))
+        for y, stranger in ((x, False), (near, False), (draw(m), True)):
+            finest = [v if len(v) else simhash.parities(f) for f in (x, y) for v in [simhash.wide_parities(f)]]
+            rows.append((len(rows), len(x) + len(y), *[v.tolist() for v in finest]))
+            differ.append(len(np.setxor1d(x, y)))
+            strangers.append(stranger)
+    pairs = spark.createDataFrame(rows, "i int, both long, p array<long>, q array<long>")
+    for x, y in (("p", "q"), ("q", "p")):
+        got = [x.bits for x in pairs.select("i", simhash._differ(x, y).alias("bits")).orderBy("i").collect()]
+        assert all(b <= d for b, d in zip(got, differ)) and got[0] == 0
+        assert [9 * b > row[1] for b, row in zip(got, rows)] == strangers
+
+
+def test_long_texts_in_pairs_near_the_limit(spark):
+    """Long texts around the sizes at which parities get more bits, with edits on both sides of 0.8."""
+    r = random.Random(12)
+    texts = []
+    for n in (1020, 1030, 2040, 2060, 4200):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for share in (0, 0.02, 0.024, 0.04):
+            words = list(base) + [f"w{r.randrange(10**6)}" for _ in range(int(20 * share))]
+            for at in r.sample(range(n), int(share * n)):
+                words[at] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets, label = [copy_shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if label[i] != label[j] and alike(sets[i], sets[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    assert 5 < len(set(label)) < len(texts)
+    kept = [x.doc_id for x in simhash.one_of_each(plain_docs(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), ["doc_id", "text"]).collect()]
+    assert sorted(kept) == sorted(set(label))
+
+
+def test_pairs_meet_at_their_first_shingle_alone_or_are_listed_once(spark, monkeypatch):
+    """However few of the earlier shingles are looked at, every pair is listed, and once."""
+    r = random.Random(13)
+    sets = {sid: sorted(r.sample(range(60), 20)) for sid in range(30)}
+    rows = spark.createDataFrame([(sid, 100, sid, at, h) for sid, hs in sets.items() for at, h in enumerate(hs)], "sid long, n long, comp long, at int, h long")
+    distinct = spark.createDataFrame([(sid, [0] * (simhash.PARITIES // 64)) for sid in sets], "sid long, odd array<long>")
+    want = {(i, j) for i, j in itertools.combinations(sets, 2) if set(sets[i]) & set(sets[j])}
+    for back in (1, 4, 100):
+        monkeypatch.setattr(simhash, "LOOK_BACK", back)
+        ready = simhash._with_before(rows, distinct)
+        got = [(x.a, x.b) for x in simhash._pairs(ready, ready, meet_once=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_star_of_variants_is_one_group(spark):
     """Variants alike to their original alone, which is neither the first nor the last of them by any id."""
     r = random.Random(8)
