@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -33,6 +34,8 @@ from swelter.session import ship_package
 #: Vocabulary files: A is a byte-level BPE, B one of pieces with byte fallback that puts a space before the text.
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
+#: Characters of the texts a task aligns at a time; a longer text is aligned alone.
+ALIGNED = 1 << 17
 #: Pair codes a task holds before it counts them.
 FLUSH_CODES = 4_000_000
 #: Pairs that are sent to all tasks, at 17 bytes each.
@@ -133,7 +136,10 @@ def _align_chunk(texts: list, pair: Pair) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def align_tokens(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def align_tokens(
+    docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B, keep: tuple[str, ...] = ("doc_id",),
+    then: Callable[..., list[pa.Array]] | None = None, out: str | None = None,
+) -> DataFrame:
     """``keep`` columns and, for every document, arrays of int:
 
     a_ids, b_ids: tokens of a space and the text; over_a, over_b: places (from 0) of tokens that
@@ -142,15 +148,17 @@ def align_tokens(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCA
     rows are aligned each; an empty table gives an empty result; other columns are ignored.
 
     Strings of special tokens are plain text. A text is aligned whole, so memory follows the longest.
+    With ``then``, the columns ``out`` that it makes of these six arrays in the same task take their place.
     """
-    ship_package(docs.sparkSession)
 
     def align(column: pa.Array) -> list[pa.Array]:
         pair = load_pair(path_a, path_b)
-        return [lists(*made) for made in _align_chunk(column.to_pylist(), pair)]
+        made = [lists(*m) for m in _align_chunk(column.to_pylist(), pair)]
+        return then(*made) if then else made
 
     names = ("a_ids", "b_ids", "over_a", "over_b", "link_a", "link_b")
-    return map_arrays(pick(docs, *keep, "text"), align, ", ".join(f"{n} array<int>" for n in names), ("text",))
+    out = out or ", ".join(f"{n} array<int>" for n in names)
+    return map_arrays(pick(docs, *keep, "text"), align, out, ("text",), most=ALIGNED)
 
 
 @lru_cache(maxsize=1)
@@ -171,8 +179,8 @@ def _group_texts(values: list[np.ndarray], last: list[np.ndarray], sizes: list[n
     return [b"".join(words[i:j])[:-1] for i, j in zip(ends, ends[1:])]
 
 
-def _digest(*columns: pa.Array) -> list[pa.Array]:
-    values, sizes = (list(x) for x in zip(*(flat(c) for c in columns)))
+def _digest(a_ids: pa.Array, b_ids: pa.Array, over_a: pa.Array, over_b: pa.Array, link_a: pa.Array, link_b: pa.Array) -> list[pa.Array]:
+    values, sizes = (list(x) for x in zip(*(flat(c) for c in (a_ids, b_ids, link_a, link_b))))
     n = len(sizes[0])
     of = np.repeat(np.arange(n), sizes[2])
     ids, last = [], []
@@ -227,9 +235,9 @@ def alignment_digest(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str =
     id; count_sum: over the links, how often the corpus holds their pair; groups_sha256. Texts
     without an alignment have zeros and ''.
     """
-    aligned = align_tokens(docs, path_a, path_b)
     made = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<int>"
-    digests = map_arrays(aligned.drop("over_a", "over_b"), _digest, made, ("a_ids", "b_ids", "link_a", "link_b"))
+    # one worker per core, and no arrays of tokens between two
+    digests = align_tokens(docs, path_a, path_b, then=_digest, out=made)
     digests = store(digests.withColumn("_row", F.monotonically_increasing_id()))
 
     counts = store(pair_counts(digests)).withColumn("b", F.col("pair") % SIDE)

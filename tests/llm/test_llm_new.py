@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import edge_docs, edge_rows, empty_docs, sentence
 
@@ -89,6 +90,16 @@ def test_alignment_of_no_documents(spark):
     assert {tuple(x) for x in token_align.alignment_digest(only_empty).collect()} == {(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2)}
 
 
+def test_digests_are_made_of_few_texts_in_the_task_that_aligns_them(spark):
+    """A task holds the tokens of ``ALIGNED`` characters, and no second worker gets them."""
+    rows = [(k, "lorem ipsum " * 1000, "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    together = token_align.align_tokens(docs, then=lambda a_ids, *rest: [pa.array([len(a_ids)] * len(a_ids), pa.int32())], out="together int")
+    assert together._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {x.together for x in together.collect()} == {token_align.ALIGNED // 12_000}
+    assert [tuple(x)[1:] for x in token_align.alignment_digest(docs).collect()] == [tuple(x)[1:] for x in token_align.alignment_digest(docs.repartition(60)).collect()]
+
+
 def test_both_libraries_of_side_a_agree(spark, libraries):
     """The vocabulary file is read by a faster library; it gives the same ids."""
     pair = token_align.load_pair()
