@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swelter.llm.common import map_text, pick
+from swelter.llm.common import flat, map_text, pick
 
 #: Most labelled rows that the fit looks at, taken in order of a hash of their id.
 SAMPLE_ROWS = 6000
@@ -164,9 +164,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     rows = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("row"))
     rows = rows.select("doc_id", "quality", "row.text", "row.n_chars")
     found = map_text(rows, _own_features, "at array<bigint>, x array<double>", ("text", "n_chars"))
-    found = found.toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["quality"], len(r["at"]), r["at"]))
-    return Machine.fit([(np.array(r["at"]), np.array(r["x"]), int(r["quality"] > 0)) for r in found])
+    # an id is one row here; its features stay in the arrays they came in
+    found = found.toArrow().combine_chunks().sort_by("doc_id")
+    (at, sizes), (x, _) = (flat(found.column(c).combine_chunks()) for c in ("at", "x"))
+    ends = np.cumsum(sizes)
+    good = (found.column("quality").to_numpy() > 0).astype(int).tolist()
+    return Machine.fit([(at[e - n : e], x[e - n : e], label) for e, n, label in zip(ends.tolist(), sizes.tolist(), good)])
 
 
 def score_quality(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:

@@ -396,6 +396,23 @@ def test_quality_on_held_out_rows(spark):
     assert again == {x.doc_id: x.score for x in scored.collect()}
 
 
+
+def test_the_fit_holds_its_sample_in_arrays(spark, monkeypatch):
+    """The driver makes no Python object of every feature: rows are views of the arrays that arrived."""
+    docs = plain_docs(spark)
+    labels = docs.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    got = []
+    monkeypatch.setattr(quality_fm.Machine, "fit", classmethod(lambda cls, rows: got.extend(rows)))
+    quality_fm.fit_quality(docs, labels)
+    assert len(got) > 20 and not any(part.flags.owndata for at, x, _ in got for part in (at, x))
+    texts = {}
+    for r in docs.where("doc_id is not null").collect():
+        texts.setdefault(r.doc_id, []).append((r.text is not None, r.text or "", r.text, r.n_chars))
+    learned = sorted(i for i in texts if zlib.crc32(str(i).encode()) % 5)
+    want = [(*quality_fm.features(*min(texts[i])[2:]), i % 2) for i in learned]
+    assert [(at.tolist(), x.tolist(), y) for at, x, y in got] == [(at.tolist(), x.tolist(), y) for at, x, y in want]
+
+
 def test_quality_never_learns_from_the_held_out_fold(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     hidden = quality_fm.held_out()
