@@ -2,9 +2,11 @@
 
 A day's field is cut into square tiles. Every tile also receives the cells of a margin
 (``HALO``) around it, wide enough that the smoothing and the labelling of its own cells come
-out exactly as they would on the whole field. A task therefore never holds more than one tile
-plus margin, however large the grid or however many cells of a day are hot; pieces of one
-component in different tiles are joined afterwards through the cells the tiles share.
+out exactly as they would on the whole field. Cells travel by block, a square of whole tiles at
+most ``BLOCK`` cells wide (or one larger tile); its tiles are worked on one below the other as one
+image, so small tiles cost no call each. A task therefore never holds more than one block plus
+margins, however large the grid or however many cells of a day are hot; pieces of one component
+in different tiles are joined afterwards through the cells the tiles share.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ OPEN_RADIUS = 1
 CLOSE_RADIUS = 2
 RING = 1  # cells around a tile whose labels it shares with its neighbours
 HALO = 2 * OPEN_RADIUS + 2 * CLOSE_RADIUS + RING
+BLOCK = 256  # cells on a side of a block of tiles
 
 _KEY_DDL = "measure string, pct double, d date"
 MASK_DDL = f"{_KEY_DDL}, r int, c int"
@@ -107,67 +110,83 @@ def label_cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rr, cc, np.repeat(label, c1 - c0 + 1)
 
 
-class _Tile:
-    """Dense arrays of one tile with its margin."""
+class _Tiles:
+    """Dense arrays of the tiles of a block that see a hot cell, each with its margin, one below the other.
+
+    What lies beyond a tile's own array may be wrong; the margin keeps that from the cells a tile sees.
+    """
 
     def __init__(self, key: tuple, table: pa.Table, shape: GridShape, size: int):
         self.day = [k.as_py() for k in key[:3]]
-        tr, tc = key[3].as_py(), key[4].as_py()
-        self.top, self.left = tr * size - HALO, tc * size - HALO
+        per = _tiles_per_block(size)
+        first = [k.as_py() * per for k in key[3:]]
+        many = [min(per, (n - 1) // size + 1 - at) for n, at in zip((shape.ny, shape.nx), first)]
         side = size + 2 * HALO
-        rows = np.arange(self.top, self.top + side)
-        cols = np.arange(self.left, self.left + side)
-        self.inside = ((rows >= 0) & (rows < shape.ny))[:, None] & ((cols >= 0) & (cols < shape.nx))[None, :]
-        r = table.column("r").to_numpy() - self.top
-        c = table.column("c").to_numpy() - self.left
-        self.hot = np.zeros((side, side), dtype=bool)
-        self.hot[r, c] = True
-        self.mag = np.zeros((side, side), dtype=np.float32)
-        self.mag[r, c] = table.column("mag").to_numpy()
-        self.core = np.zeros((side, side), dtype=bool)
-        self.core[HALO : HALO + size, HALO : HALO + size] = True
-        self.seen = np.zeros((side, side), dtype=bool)
-        self.seen[HALO - RING : HALO + size + RING, HALO - RING : HALO + size + RING] = True
-        rim = np.zeros((side, side), dtype=bool)
-        rim[HALO + RING : HALO + size - RING, HALO + RING : HALO + size - RING] = True
-        self.rim = self.seen & ~rim
+        r = table.column("r").to_numpy() - (first[0] * size - HALO)
+        c = table.column("c").to_numpy() - (first[1] * size - HALO)
+        hot = np.zeros([n * size + 2 * HALO for n in many], dtype=bool)
+        hot[r, c] = True
+        mag = np.zeros(hot.shape, dtype=np.float32)
+        mag[r, c] = table.column("mag").to_numpy()
+        hot, mag = (np.lib.stride_tricks.sliding_window_view(a, (side, side))[::size, ::size] for a in (hot, mag))
+        tr, tc = np.nonzero(hot.any(axis=(2, 3)))
+        self.hot, self.mag = (a[tr, tc].reshape(-1, side) for a in (hot, mag))
+        self.row = (((first[0] + tr) * size - HALO)[:, None] + np.arange(side)).ravel()
+        self.left = np.repeat((first[1] + tc) * size - HALO, side)
+        col = self.left[:, None] + np.arange(side)
+        self.inside = ((self.row >= 0) & (self.row < shape.ny))[:, None] & (col >= 0) & (col < shape.nx)
+        core, seen, inner = (np.zeros((side, side), dtype=bool) for _ in range(3))
+        core[HALO : HALO + size, HALO : HALO + size] = True
+        seen[HALO - RING : HALO + size + RING, HALO - RING : HALO + size + RING] = True
+        inner[HALO + RING : HALO + size - RING, HALO + RING : HALO + size - RING] = True
+        self.core, self.seen, self.rim = (np.tile(a, (len(tr), 1)) for a in (core, seen, seen & ~inner))
 
     def smooth(self) -> np.ndarray:
         return closed(opened(self.hot, self.inside), self.inside)
 
+    def place(self, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grid row and column of cells of the arrays."""
+        return self.row[r], self.left[r] + c
+
+
+def _tiles_per_block(size: int) -> int:
+    return max(1, BLOCK // size)
+
 
 def _spread(hot: DataFrame, shape: GridShape, size: int) -> DataFrame:
-    """Send every hot cell to its own tile and to the neighbours whose margin it lies in."""
+    """Send every hot cell to its own block and to the neighbours whose margin it lies in."""
     if size < 2 * HALO:
         raise ValueError(f"a tile must be at least {2 * HALO} cells wide")
 
+    wide = _tiles_per_block(size) * size
+
     def targets(axis: str, n: int):
-        last = (n - 1) // size
-        lo = F.greatest(F.floor((F.col(axis) - HALO) / size), F.lit(0))
-        hi = F.least(F.floor((F.col(axis) + HALO) / size), F.lit(last))
+        last = (n - 1) // wide
+        lo = F.greatest(F.floor((F.col(axis) - HALO) / wide), F.lit(0))
+        hi = F.least(F.floor((F.col(axis) + HALO) / wide), F.lit(last))
         return F.explode(F.sequence(lo.cast("int"), hi.cast("int")))
 
     return (
         hot.where(F.col("mag") > 0)
         .select(*DAY_KEYS, F.col("r").cast("int"), F.col("c").cast("int"), F.col("mag").cast("float"))
-        .withColumn("tr", targets("r", shape.ny))
-        .withColumn("tc", targets("c", shape.nx))
+        .withColumn("br", targets("r", shape.ny))
+        .withColumn("bc", targets("c", shape.nx))
     )
 
 
-def _per_tile(hot: DataFrame, shape: GridShape, size: int, fn: Callable[[_Tile], pa.Table], ddl: str) -> DataFrame:
+def _per_block(hot: DataFrame, shape: GridShape, size: int, fn: Callable[[_Tiles], pa.Table], ddl: str) -> DataFrame:
     ship_package(hot.sparkSession)
 
     def run(key, table):
-        return fn(_Tile(key, table, shape, size))
+        return fn(_Tiles(key, table, shape, size))
 
-    # the work per tile is far larger than its bytes, so partitions must not be merged by size
+    # the work per block is far larger than its bytes, so partitions must not be merged by size
     tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tile_keys = [*DAY_KEYS, "tr", "tc"]
-    return _spread(hot, shape, size).repartition(tasks, *tile_keys).groupBy(*tile_keys).applyInArrow(run, ddl)
+    keys = [*DAY_KEYS, "br", "bc"]
+    return _spread(hot, shape, size).repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, ddl)
 
 
-def _day_columns(tile: _Tile, n: int) -> dict[str, pa.Array]:
+def _day_columns(tile: _Tiles, n: int) -> dict[str, pa.Array]:
     measure, pct, d = tile.day
     return {
         "measure": pa.array([measure] * n, pa.string()),
@@ -179,18 +198,18 @@ def _day_columns(tile: _Tile, n: int) -> dict[str, pa.Array]:
 def smooth_mask(hot: DataFrame, shape: GridShape, size: int = 256, step: str = "close") -> DataFrame:
     """Cells ``(measure, pct, d, r, c)`` left after opening (``step='open'``) or opening and closing."""
 
-    def cells(tile: _Tile) -> pa.Table:
+    def cells(tile: _Tiles) -> pa.Table:
         img = opened(tile.hot, tile.inside) if step == "open" else tile.smooth()
-        r, c = np.nonzero(img & tile.core)
+        r, c = tile.place(*np.nonzero(img & tile.core))
         return pa.table(
             {
                 **_day_columns(tile, r.size),
-                "r": pa.array((r + tile.top).astype(np.int32)),
-                "c": pa.array((c + tile.left).astype(np.int32)),
+                "r": pa.array(r.astype(np.int32)),
+                "c": pa.array(c.astype(np.int32)),
             }
         )
 
-    return _per_tile(hot, shape, size, cells, MASK_DDL)
+    return _per_block(hot, shape, size, cells, MASK_DDL)
 
 
 def _grouped_lists(label: np.ndarray, n: int, *columns: pa.Array) -> list[pa.Array]:
@@ -208,9 +227,10 @@ def component_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataF
     and ``edge_*`` the first and last cell of the piece in every row (all a hull needs).
     """
 
-    def pieces(tile: _Tile) -> pa.Table:
+    def pieces(tile: _Tiles) -> pa.Table:
         rr, cc, raw = label_cells(tile.smooth() & tile.seen)
-        flat = (rr + tile.top).astype(np.int64) * shape.nx + cc + tile.left
+        row, col = tile.place(rr, cc)
+        flat = row * shape.nx + col
         _, first, lab = np.unique(raw, return_index=True, return_inverse=True)
         n = first.size
         core = tile.core[rr, cc]
@@ -221,7 +241,7 @@ def component_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataF
             return np.bincount(lab[core], weights=weights[core], minlength=n)
 
         mag = tile.mag[rr, cc]
-        row_abs, col_abs = (rr + tile.top).astype(np.int32), (cc + tile.left).astype(np.int32)
+        row_abs, col_abs = row.astype(np.int32), col.astype(np.int32)
         cr, cl, ccol = row_abs[core], lab[core], col_abs[core]
         order = np.lexsort((ccol, cr, cl))
         cr, cl, ccol = cr[order], cl[order], ccol[order]
@@ -255,27 +275,28 @@ def component_pieces(hot: DataFrame, shape: GridShape, size: int = 256) -> DataF
             }
         )
 
-    return _per_tile(hot, shape, size, pieces, PIECE_DDL)
+    return _per_block(hot, shape, size, pieces, PIECE_DDL)
 
 
 def mask_nodes(hot: DataFrame, shape: GridShape, size: int = 256) -> DataFrame:
     """Cells of the smoothed field with the ``node`` of the piece they belong to."""
 
-    def cells(tile: _Tile) -> pa.Table:
+    def cells(tile: _Tiles) -> pa.Table:
         rr, cc, raw = label_cells(tile.smooth() & tile.seen)
-        flat = (rr + tile.top).astype(np.int64) * shape.nx + cc + tile.left
+        row, col = tile.place(rr, cc)
+        flat = row * shape.nx + col
         _, first, lab = np.unique(raw, return_index=True, return_inverse=True)
         core = tile.core[rr, cc]
         return pa.table(
             {
                 **_day_columns(tile, int(core.sum())),
-                "r": pa.array((rr[core] + tile.top).astype(np.int32)),
-                "c": pa.array((cc[core] + tile.left).astype(np.int32)),
+                "r": pa.array(row[core].astype(np.int32)),
+                "c": pa.array(col[core].astype(np.int32)),
                 "node": pa.array(flat[first][lab[core]]),
             }
         )
 
-    return _per_tile(hot, shape, size, cells, f"{MASK_DDL}, node bigint")
+    return _per_block(hot, shape, size, cells, f"{MASK_DDL}, node bigint")
 
 
 def label_field(hot: DataFrame, shape: GridShape, size: int = 256) -> DataFrame:

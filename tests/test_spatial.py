@@ -201,3 +201,16 @@ def test_axis_lookup(spark):
     got = [r.v for r in grid.interp_axis(pos, axis, "p", "v").orderBy("p").collect()]
     assert got == [10.0, 10.0, 12.0, 13.375, 13.5, 13.5]
     assert grid.same_axis(axis, axis) and not grid.same_axis(axis, axis.where("idx < 3"))
+
+
+def test_small_tiles_travel_in_blocks(spark):
+    """Cells of a field of two blocks are sent to few places, and its tiles give the components of one large tile."""
+    rng = np.random.default_rng(5)
+    shape = GridShape(tiles.BLOCK + 50, 40)
+    rows = [("t", 90.0, d, int(r), int(c), 1.0) for d in DAYS[:2] for r, c in zip(*np.nonzero(rng.random((shape.ny, shape.nx)) < 0.66))]
+    hot = spark.createDataFrame(rows, DDL)
+    assert len(rows) < tiles._spread(hot, shape, 16).count() < 1.1 * len(rows)
+    fields = [{tuple(x) for x in tiles.label_field(hot, shape, size).collect()} for size in (16, 1024)]
+    assert fields[0] == fields[1] and len({x[5] for x in fields[0]}) > 5
+    counts = [{(x.d, x.comp, x.n_cells) for x in tiles.component_table(tiles.labelled_pieces(hot, shape, size)).collect()} for size in (16, 1024)]
+    assert counts[0] == counts[1]
