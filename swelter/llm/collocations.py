@@ -46,6 +46,10 @@ DENSE = 1 / 64
 #: Runs, and different words, a task holds before it hands on their counts.
 FLUSH = 2_000_000
 WORDS_HELD = 200_000
+#: Counted runs a task adds up before it hands them on; parts of the table a task of the last step
+#: reads at most, where there are more than enough of them for all cores.
+COUNTED = 250_000
+PARTS = 4
 
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
@@ -206,9 +210,28 @@ def _ids(hashes: np.ndarray, rank: np.ndarray, head: int) -> tuple[np.ndarray, n
     return ids, others
 
 
-def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> DataFrame:
-    """The hashes of the words of runs of ``size`` words, a column each, and n, the exact number
-    of occurrences of every run whose two parts of ``size - 1`` words are frequent."""
+def add_up(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows and the sums of their counts. Rows are compared as a whole; should hashes be
+    equal, a row may come twice, each time with a part of its count."""
+    order = np.argsort(run_hash(rows), kind="stable")
+    rows, n = rows[order], n[order]
+    at = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)])
+    return rows[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def longer_tasks(encoded: DataFrame) -> DataFrame:
+    """The documents in tasks of up to ``PARTS`` parts, as long as two are left for every core."""
+    parts = encoded.rdd.getNumPartitions()
+    return encoded.coalesce(max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS)))
+
+
+def task_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int, flush: int = FLUSH) -> DataFrame:
+    """``run_counts`` as the tasks hand them on, before Spark adds them up.
+
+    A task that reads more gives fewer rows if its runs repeat. Those of the last size lie in
+    frequent runs only and do so most: there a task reads several parts of the table. Of shorter
+    runs most are met once in a task, and longer tasks would only fill memory.
+    """
     names = [f"w{k}" for k in range(size)]
     sent = encoded.sparkSession.sparkContext.broadcast((words, shorter))
 
@@ -217,8 +240,9 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
         by_rank = np.empty(len(words.known), np.uint64)
         by_rank[words.rank] = words.known
         held: list[tuple] = []
+        counted: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
+        def tally() -> None:
             rows, rank_l, rank_r = (np.concatenate(x) for x in zip(*held))
             held.clear()
             left, others_l = _ids(run_hash(rows[:, :-1]), rank_l, len(shorter.known))
@@ -229,8 +253,14 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
             first = np.full(len(shorter.known) + len(others_l), -1)
             first[left] = np.arange(len(left))
             lasts = np.concatenate([by_rank, others_r])
-            whole = np.column_stack([rows[first[l], :-1], lasts[r]])
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in whole.T.copy()] + [pa.array(n.astype(np.int64))], names=[*names, "n"])
+            counted.append((np.column_stack([rows[first[l], :-1], lasts[r]]), n.astype(np.int64)))
+            if len(counted) > 1:
+                del rows, left, right, first
+                counted[:] = [add_up(*(np.concatenate(x) for x in zip(*counted)))]
+
+        def out() -> pa.RecordBatch:
+            whole, n = counted.pop()
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in whole.T.copy()] + [pa.array(n)], names=[*names, "n"])
 
         count = 0
         for batch in (part for whole in batches for part in slices(whole, whole.column("ids"))):
@@ -258,13 +288,26 @@ def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> D
             rank_r = np.where(ids[at + size - 1] >= 0, ids[at + size - 1], -1)
             held.append((rows[keep], rank_l[keep], rank_r[keep]))
             count += int(keep.sum())
-            if count > FLUSH // size:
-                yield out()
+            if count > flush // size:
+                tally()
                 count = 0
+                if len(counted[0][1]) > COUNTED:
+                    yield out()
         if count:
+            tally()
+        if counted:
             yield out()
 
-    return encoded.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
+    ship_package(encoded.sparkSession)
+    read = longer_tasks(encoded) if size == LONGEST else encoded
+    return read.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
+
+
+def run_counts(encoded: DataFrame, words: Ranks, shorter: Ranks, size: int) -> DataFrame:
+    """The hashes of the words of runs of ``size`` words, a column each, and n, the exact number
+    of occurrences of every run whose two parts of ``size - 1`` words are frequent."""
+    names = [f"w{k}" for k in range(size)]
+    return task_counts(encoded, words, shorter, size).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def _named(runs: DataFrame) -> DataFrame:

@@ -257,6 +257,38 @@ def test_tiles_count_like_a_counter(monkeypatch):
     assert dict(zip(zip(x.tolist(), y.tolist()), n.tolist())) == Counter(zip(left.tolist(), right.tolist())) and len(x) == len(set(zip(x.tolist(), y.tolist())))
 
 
+def test_counts_of_runs_are_added_up():
+    r = np.random.default_rng(4)
+    rows, n = r.integers(0, 4, (2000, 4)).astype(np.uint64), r.integers(1, 9, 2000)
+    want = Counter()
+    for row, k in zip(rows.tolist(), n.tolist()):
+        want[tuple(row)] += k
+    got, sums = collocations.add_up(rows, n)
+    assert len(got) == len(want) and dict(zip(map(tuple, got.tolist()), sums.tolist())) == want
+    none, no_sums = collocations.add_up(rows[:0], n[:0])
+    assert none.shape == (0, 4) and len(no_sums) == 0
+
+
+def test_a_task_hands_on_a_run_of_four_once(spark):
+    """Rows of the last step follow the cores and the different runs, not the parts of the table."""
+    docs = spark.range(960).selectExpr("'en' as lang", "'new york city hall opens , ' || cast(id % 2 as string) || ' of them' as text").repartition(96)
+    words = collocations.ranks(collocations.word_counts(docs).select("h", "n"), collocations.HEAD, collocations.BITS)
+    encoded, shorter = collocations.encode(docs, words), words
+    for size in (2, 3):
+        shorter = collocations.ranks(collocations._named(collocations.run_counts(encoded, words, shorter, size)), collocations.HEAD, collocations.BITS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = collocations.task_counts(encoded, words, shorter, 4, flush=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sums, times = Counter(), Counter()
+    for *run, n in made:
+        sums[tuple(run)] += n
+        times[tuple(run)] += 1
+    assert sorted(sums.values()) == [960, 960]
+    assert max(times.values()) <= max(2 * spark.sparkContext.defaultParallelism, 96 // collocations.PARTS) < 96
+
+
 def test_long_products_are_exact(spark):
     """Counts whose product with the scale passes 64 bits."""
     big = 9_000_000_000_000_000_007
