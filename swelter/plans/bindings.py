@@ -65,8 +65,9 @@ def cell_day(spark: SparkSession, sf: str) -> DataFrame:
 
 def _axis(df: DataFrame, index, start: float, step: float, bend: float) -> DataFrame:
     i = F.col("idx")
+    squared = i.cast("bigint") * i  # passes 32 bits from index 46,341 on
     return df.select(index.alias("idx")).distinct().select(
-        "idx", (F.lit(start) + i * F.lit(step) + i * i * F.lit(bend)).alias("coord")
+        "idx", (F.lit(start) + i * F.lit(step) + squared * F.lit(bend)).alias("coord")
     )
 
 
