@@ -46,7 +46,7 @@ def tall(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["day_clusters", "convex_hull"])
+@pytest.mark.parametrize("name", ["day_clusters", "convex_hull", "day_segmentation"])
 def test_tall_rasters(spark, tall, name):
     folder, con = tall
     assert differences(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) == []
